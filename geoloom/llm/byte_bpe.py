@@ -24,7 +24,9 @@ from .common import blocks, ragged, spread
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PIECES = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
 #: Longer pieces are not kept between batches, and no more of them than this.
-KEPT_CHARS, KEPT = 40, 300_000
+KEPT_CHARS, KEPT = 40, 150_000
+#: Bytes of text, and distinct pieces, that are encoded at a time.
+BLOCK, SLICE = 2 << 20, 8192
 
 
 def byte_chars() -> list[str]:
@@ -74,9 +76,11 @@ class Codec:
         flat = [p for own in pieces for p in own]
         kept, base = self.kept, len(self.ids)
         missing = [p for p in dict.fromkeys(flat) if p not in kept]
-        found = self.model.encode_batch_fast(missing, add_special_tokens=False)
+        arrays = []
+        for i in range(0, len(missing), SLICE):  # the library's results are large: few of them at a time
+            found = self.model.encode_batch_fast(missing[i : i + SLICE], add_special_tokens=False)
+            arrays += [np.array(e.ids, np.int32) for e in found]
         local = {p: base + i for i, p in enumerate(missing)}
-        arrays = [np.array(e.ids, np.int32) for e in found]
         ids = self.ids + arrays
         at = np.fromiter((kept[p] if p in kept else local[p] for p in flat), np.int64, len(flat))
         keep = [i for i, p in enumerate(missing) if len(p) <= KEPT_CHARS]
@@ -125,7 +129,7 @@ def encode(docs: DataFrame, vocabulary: str, text_col: str = "text", offsets: bo
 
     def run(batches):
         own = codec(vocabulary)
-        for batch in blocks(batches, text_col):
+        for batch in blocks(batches, text_col, BLOCK):
             texts = pc.fill_null(batch.column(at), "")
             ends, ids = own.encode(texts.to_pylist())
             more = [ragged(ids, ends, pa.int32())]

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 import weakref
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+ROOT = str(Path(__file__).resolve().parents[2])
 #: Bytes of text that a Python task handles at a time.
 BLOCK_BYTES = 8 << 20
 
@@ -34,10 +37,15 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Tables written below the shared folder. They cut lineage and survive lost executors.
 
-    bind(df) deletes them when df, the last DataFrame that needs them, is no longer referenced."""
+    They stay until delete(), or, in a function under @owning, until the DataFrame that it returned is no longer
+    referenced."""
+
+    open: list[list[Scratch]] = []
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        if self.open:
+            self.open[-1].append(self)
 
     def write(self, df: DataFrame, table: str) -> DataFrame:
         path = f"{self.path}/{table}"
@@ -51,9 +59,23 @@ class Scratch:
         path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{table}" if table else self.path)
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
-    def bind(self, df: DataFrame) -> DataFrame:
-        weakref.finalize(df, _quietly, self.delete).atexit = False
-        return df
+
+def owning(f):
+    """The scratch tables made in f go when the DataFrame that f returns goes."""
+
+    @functools.wraps(f)
+    def run(*args):
+        args[0].sparkContext.environment.setdefault("PYTHONPATH", ROOT)  # Python workers import this package
+        Scratch.open.append([])
+        try:
+            out = f(*args)
+        finally:
+            made = Scratch.open.pop()
+        for x in made:
+            weakref.finalize(out, _quietly, x.delete).atexit = False
+        return out
+
+    return run
 
 
 def _quietly(delete) -> None:

@@ -196,6 +196,4 @@ def deduplicate(
     first = F.when(F.col("keep_id").isNull(), F.col("at") == 0).otherwise(
         F.array_position("docs", F.col("keep_id")) == F.col("at") + 1
     )
-    return scratch.bind(
-        each.select("doc_id", "keep_id", "group_size", (F.col("owner") & first).alias("kept"), "text_sha256")
-    )
+    return each.select("doc_id", "keep_id", "group_size", (F.col("owner") & first).alias("kept"), "text_sha256")
