@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, chat, exact_dedup, metric_search, token_counts, toxicity
+from . import byte_bpe, chat, exact_dedup, metric_search, near_dedup, token_counts, toxicity
 from .common import load, owning
 
 
@@ -85,6 +85,11 @@ from said group by conv_id
 """
 
 
+@owning
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(load(spark, sf_dir, "documents"))
+
+
 @owning
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
@@ -118,6 +123,7 @@ from (select *, row_number() over (partition by query_id order by score desc, ve
 QUERIES = {
     "op2_toxicity": op2_toxicity,
     "op6_chat": op6_chat,
+    "op7_near_dedup": op7_near_dedup,
     "op10_metric_search": op10_metric_search,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_exact_dedup": op5_exact_dedup,
