@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, chat, exact_dedup, metric_search, near_dedup, token_counts, toxicity
+from . import byte_bpe, chat, exact_dedup, metric_search, near_dedup, substring_dedup, token_counts, toxicity
 from .common import load, owning
 
 
@@ -21,6 +21,14 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@owning
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup.remove_repeats(docs).select(
+        "doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256")
+    )
+
+
 @owning
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -125,6 +133,7 @@ QUERIES = {
     "op6_chat": op6_chat,
     "op7_near_dedup": op7_near_dedup,
     "op10_metric_search": op10_metric_search,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_exact_dedup": op5_exact_dedup,
     "op9_token_counts": op9_token_counts,
