@@ -5,8 +5,18 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, chat, exact_dedup, metric_search, near_dedup, substring_dedup, token_counts, toxicity
-from .common import load, owning
+from . import byte_bpe, chat, exact_dedup, metric_search, near_dedup, packing, substring_dedup, token_counts, toxicity
+from .common import Scratch, load, owning
+
+
+@owning
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    made = packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"))
+    own = Scratch(spark, "pieces").write(made.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pieces")
+    return packing.pack_pieces(own).select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "certified"
+    )
 
 
 @owning
@@ -129,6 +139,7 @@ from (select *, row_number() over (partition by query_id order by score desc, ve
 
 
 QUERIES = {
+    "op1_best_fit_packing": op1_best_fit_packing,
     "op2_toxicity": op2_toxicity,
     "op6_chat": op6_chat,
     "op7_near_dedup": op7_near_dedup,
