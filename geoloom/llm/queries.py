@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import byte_bpe, chat, exact_dedup, metric_search, near_dedup, packing, substring_dedup, token_counts, toxicity
+from . import byte_bpe, chat, exact_dedup, lm_scores, metric_search, near_dedup, packing, substring_dedup, token_counts, toxicity
 from .common import Scratch, load, owning
 
 
@@ -108,6 +108,32 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(load(spark, sf_dir, "documents"))
 
 
+@owning
+def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    mean = F.when(F.col("n_tokens") > 0, F.col("log_score") / F.col("n_tokens")).otherwise(0.0)
+    return lm_scores.stupid_backoff(docs).select("doc_id", "n_tokens", F.round(mean, 6).alias("mean_log_score"))
+
+
+OP8_SQL = f"""
+with d as (
+  select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as ws from documents
+), t as (
+  select doc_id, unnest(ws) as v, unnest(list_concat([null], ws[:-2])) as w from d
+), one as (select v, count(*) as n from t group by v),
+s as (select sum(n) as total, greatest(sum(n) - coalesce(sum(n) filter (n >= {lm_scores.CUTOFF}), 0), 1) as rare from one),
+two as (select w, v, count(*) as m from t where w is not null group by w, v),
+x as (
+  select t.doc_id,
+    case when two.m >= {lm_scores.CUTOFF} then ln(two.m / a.n)
+         else ln({lm_scores.BACKOFF}e0 * (case when b.n >= {lm_scores.CUTOFF} then b.n else s.rare end) / s.total) end as score
+  from t cross join s join one b on b.v = t.v left join one a on a.v = t.w left join two on two.w = t.w and two.v = t.v
+)
+select d.doc_id, cast(coalesce(g.n, 0) as bigint) as n_tokens, round(coalesce(g.mean, 0), 6) as mean_log_score
+from d left join (select doc_id, count(*) as n, avg(score) as mean from x group by doc_id) g on g.doc_id = d.doc_id
+"""
+
+
 @owning
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
@@ -147,7 +173,8 @@ QUERIES = {
     "op3_substring_dedup": op3_substring_dedup,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_exact_dedup": op5_exact_dedup,
+    "op8_lm_scores": op8_lm_scores,
     "op9_token_counts": op9_token_counts,
 }
 
-SQL = {"op5_exact_dedup": OP5_SQL, "op6_chat": OP6_SQL, "op10_metric_search": OP10_SQL}
+SQL = {"op5_exact_dedup": OP5_SQL, "op6_chat": OP6_SQL, "op8_lm_scores": OP8_SQL, "op10_metric_search": OP10_SQL}
