@@ -1,12 +1,84 @@
-"""The corpus pipeline: stages over `documents`, each written as Parquet and read again by the next."""
+"""The corpus pipeline: stages over `documents`, each written as Parquet and read again by the next.
+
+A stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the columns of
+documents. Rows without a doc_id pass the filtering stages.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from geoloom.llm import exact_dedup, near_dedup, packing, substring_dedup, toxicity
+from geoloom.llm.common import Scratch, load, owning
+
+#: Ids that may be broadcast; beyond, the join shuffles.
+BROADCAST = 1_000_000
+#: Score from which a document is rejected as toxic.
+TOXIC = 0.7
+
+
+def _without(docs: DataFrame, decisions: DataFrame, scratch: Scratch) -> DataFrame:
+    """docs less the ids of which decisions (doc_id, kept) keeps no row; of rows that repeat a kept id and its text one
+    stays if decisions keeps one and drops others."""
+    fate = decisions.groupBy("doc_id").agg(F.max("kept").alias("any"), F.min("kept").alias("all"))
+    fate = scratch.write(fate.where("not `all` and doc_id is not null"), "fate")
+    dropped, mixed = fate.where("not any").select("doc_id"), fate.where("any").select("doc_id")
+    sized = lambda ids: F.broadcast(ids) if ids.count() <= BROADCAST else ids
+    kept = docs.join(sized(dropped), "doc_id", "left_anti")
+    if not mixed.isEmpty():
+        side = sized(mixed)
+        kept = kept.join(side, "doc_id", "left_anti").unionByName(kept.join(side, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
+    return kept.select(*docs.columns)
+
+
+@owning
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    model = toxicity.train(docs, load(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model, to="__score").where(F.col("__score") < TOXIC).select(*docs.columns)
+
+
+@owning
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _without(docs, exact_dedup.deduplicate(docs), Scratch(spark, "stage"))
+
+
+@owning
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return _without(docs, near_dedup.near_duplicates(docs), Scratch(spark, "stage"))
+
+
+@owning
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A document of which nothing is removed keeps its text as it is."""
+    cut = substring_dedup.remove_repeats(docs)
+    text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
+    n_chars = F.when(F.col("n_removed") > 0, F.char_length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
+    return cut.withColumns({"text": text, "n_chars": n_chars}).select(*docs.columns)
+
+
+@owning
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    made = packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"))
+    own = Scratch(spark, "pieces").write(made.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pieces")
+    return packing.pack_pieces(own).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("exact dedup", drop_exact_copies),
+    ("near dedup", drop_near_copies),
+    ("substring dedup", cut_repeats),
+    ("packing", pack),
+]
 
-#: SQL cannot express learned scores and packing.
+#: SQL cannot express a learned score or best-fit packing.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+@owning
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, scratch = load(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
+    for i, (_, stage) in enumerate(STAGES):
+        docs = scratch.write(stage(spark, docs, sf_dir), f"stage{i}")
+    return docs
