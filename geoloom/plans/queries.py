@@ -202,7 +202,10 @@ def count_objects(fx):
 # scalar geometry
 
 _PAIR = "from {fx_points} p join {raw} b on b.building_id = p.point_id % 150 + 1"
-_C = {k: F.col(k) for k in ("lat", "lon", "blat", "blon")}
+
+
+def _c(*names):
+    return [F.col(n) for n in names]
 
 
 def _pairs(fx):
@@ -212,22 +215,22 @@ def _pairs(fx):
 
 @query(f"select p.point_id, round({O.haversine('p.lat', 'p.lon', 'b.lat', 'b.lon')}, 3) d {_PAIR}")
 def haversine(fx):
-    return _pairs(fx).select("point_id", F.round(G.haversine(_C["lat"], _C["lon"], _C["blat"], _C["blon"]), 3).alias("d"))
+    return _pairs(fx).select("point_id", F.round(G.haversine(*_c("lat", "lon", "blat", "blon")), 3).alias("d"))
 
 
 @query(f"select point_id, round({O.mx('lon')}, 3) x, round({O.my('lat')}, 3) y from {{fx_points}}")
 def project_mercator(fx):
-    return fx("fx_points").select("point_id", F.round(G.mercator_x(_C["lon"]), 3).alias("x"), F.round(G.mercator_y(_C["lat"]), 3).alias("y"))
+    return fx("fx_points").select("point_id", F.round(G.mercator_x(F.col("lon")), 3).alias("x"), F.round(G.mercator_y(F.col("lat")), 3).alias("y"))
 
 
 @query(f"select p.point_id, round(sqrt((b.lat-p.lat)*(b.lat-p.lat)+(b.lon-p.lon)*(b.lon-p.lon)), 9) d {_PAIR}")
 def euclidean_distance(fx):
-    return _pairs(fx).select("point_id", F.round(G.euclidean(_C["lat"], _C["lon"], _C["blat"], _C["blon"]), 9).alias("d"))
+    return _pairs(fx).select("point_id", F.round(G.euclidean(*_c("lat", "lon", "blat", "blon")), 9).alias("d"))
 
 
 @query(f"select p.point_id, (b.lat-p.lat)*(b.lat-p.lat)+(b.lon-p.lon)*(b.lon-p.lon) d2 {_PAIR}")
 def degree_distance2(fx):
-    return _pairs(fx).select("point_id", G.degree_distance2(_C["lat"], _C["lon"], _C["blat"], _C["blon"]).alias("d2"))
+    return _pairs(fx).select("point_id", G.degree_distance2(*_c("lat", "lon", "blat", "blon")).alias("d2"))
 
 
 @query("select level, area_id, round(bl_x, 3) bl_x, round(bl_y, 3) bl_y, round(tr_x, 3) tr_x, round(tr_y, 3) tr_y from {box}")

@@ -53,7 +53,7 @@ def _stitch(rows: pd.DataFrame) -> pd.DataFrame:
                     del left[i]
                     break
             else:
-                return pd.DataFrame({"id": [], "ring": [], "refs": []})
+                return pd.DataFrame({"id": pd.Series([], dtype="int64"), "ring": pd.Series([], dtype="int32"), "refs": pd.Series([], dtype=object)})
         rings.append(ring)
     return pd.DataFrame({"id": rows["id"].iloc[0], "ring": range(len(rings)), "refs": rings})
 
