@@ -170,30 +170,41 @@ def _key(text: bytes) -> bytes:
     return xxhash.xxh3_128_digest(word_hashes(pa.array([text.decode()]), lower=False)[1].tobytes())
 
 
-def _cut(id_col, text_col, names, width):
-    """Drops the words of the windows marked in `cuts`, or all words of a `whole` copy."""
+def _merged(width):
+    """The windows marked in a document's contexts as runs of words: from (included) and to (excluded)."""
 
     def run(batches):
-        at, whole_at, cuts_at, key_at = names.index(text_col), *range(len(names), len(names) + 3)
+        for batch in batches:
+            begins, ends = [], []
+            for cuts in batch.column("cuts"):
+                starts = np.unique(np.concatenate([c["lo"].as_py() + np.flatnonzero(np.asarray(c["gone"].values)) for c in cuts]))
+                new = np.concatenate(([True], np.diff(starts) > width))
+                begins.append(starts[new].astype(np.int32))
+                ends.append((starts[np.append(new[1:], True)] + width).astype(np.int32))
+            kind = pa.list_(pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(begins, kind), pa.array(ends, kind)], ["doc_id", "from", "to"])
+
+    return run
+
+
+def _cut(text_col, names):
+    """Drops the marked runs of words, or all words of a `whole` copy; columns whole, from, to and key come last."""
+
+    def run(batches):
+        at, whole_at, from_at, to_at, key_at = names.index(text_col), *range(len(names), len(names) + 4)
         for batch in blocks(batches, text_col):
             kept, total, removed = [], [], []
             texts = pc.fill_null(batch.column(at), "").cast(pa.binary()).to_pylist()
-            for i, (text, whole) in enumerate(zip(texts, batch.column(whole_at).to_pylist(), strict=True)):
+            marks = zip(texts, *(batch.column(i).to_pylist() for i in (whole_at, from_at, to_at, key_at)), strict=True)
+            for text, whole, begins, ends, key in marks:
                 said = text.split()
-                cuts = batch.column(cuts_at)[i].as_py()
-                if (whole or cuts) and _key(text) != batch.column(key_at)[i].as_py():
-                    whole, cuts = False, None
-                gone = np.zeros(len(said) + 1, np.int64)
-                if whole:
-                    gone[:-1] = 1
-                elif cuts:
-                    edges = np.zeros(len(said) + 1, np.int64)
-                    for c in cuts:
-                        starts = c["lo"] + np.flatnonzero(c["gone"])
-                        np.add.at(edges, starts, 1)
-                        np.add.at(edges, starts + width, -1)
-                    gone = np.cumsum(edges)
-                stay = [w for w, g in zip(said, gone.tolist()) if not g] if whole or cuts else said
+                stay = said
+                if key is not None and _key(text) == key:
+                    if whole:
+                        stay = []
+                    else:
+                        edges = zip([0, *ends], [*begins, len(said)], strict=True)
+                        stay = [w for a, b in edges for w in said[a:b]]
                 total.append(len(said))
                 removed.append(len(said) - len(stay))
                 kept.append(b" ".join(stay))
@@ -203,14 +214,20 @@ def _cut(id_col, text_col, names, width):
     return run
 
 
+def _sized(df: DataFrame, listed: str) -> DataFrame:
+    """df to be broadcast if its rows and the items of its column of lists are few; else the join shuffles."""
+    rows, items = df.agg(F.count("*"), F.sum(F.when(F.col(listed).isNotNull(), F.size(listed)))).first()
+    return F.broadcast(df) if rows <= BROADCAST and (items or 0) <= 10 * BROADCAST else df
+
+
 def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with n_words, n_removed (long) and kept_text: the words `[^\\x20\\x09-\\x0D]+` left, joined by one space, after
     each word went that is covered by a window of `width` words whose sequence also starts in a document with a smaller
     id. Windows are judged on the input, not on what is left.
 
     A null or blank text has no words. Repeats within one document stay. Rows with a null id keep all their words and
-    take nothing from others. Rows that repeat an id are judged by the one with fewest words (then least hash), and cut
-    only if their own words are the same; others of that id keep their words. Other columns pass through; columns of
+    take nothing from others. Of rows that repeat an id, the shortest with `width` words or more (then the one with the
+    least hash) is judged; the others are cut only if their words are the same. Other columns pass through; columns of
     docs with the new names are replaced. An empty table gives an empty one. Windows on which a text of any length
     depends are all compared; there are no caps. width: more than PREFIX words."""
     spark = docs.sparkSession
@@ -229,10 +246,11 @@ def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", tex
     placed = sketched.join(reps, ["doc_id", "key"]).select("doc_id", F.explode(F.arrays_zip("prefixes", "places")).alias("x"))
     placed = placed.select("doc_id", F.col("x.prefixes").alias("prefix"), F.col("x.places").alias("place"))
     shared = placed.groupBy("prefix").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("prefix")
+    # written first, so that the join's sides are plain rows and a very common prefix can be split
+    shared = scratch.write(shared, "prefixes")
     mine = placed.join(shared, "prefix").groupBy("doc_id").agg(F.collect_list("place").alias("shared"))
     mine = scratch.write(mine, "shared")
-    few = mine.count() <= BROADCAST
-    texts = rows.join(F.broadcast(mine) if few else mine, "doc_id")
+    texts = rows.join(_sized(mine, "shared"), "doc_id")
     found = scratch.write(
         texts.mapInArrow(_contexts(width), "prefix long, context binary, doc long, lo int, n int, words binary"), "contexts"
     )
@@ -256,15 +274,13 @@ def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", tex
     gone = found.select("context", "doc", "lo").join(first, "context")
     gone = gone.select("doc", "lo", F.transform("first", lambda m: m < F.col("doc")).alias("gone")).where("exists(gone, x -> x)")
     cuts = gone.groupBy("doc").agg(F.collect_list(F.struct("lo", "gone")).alias("cuts"))
-    cuts = scratch.write(cuts.select(F.col("doc").alias("doc_id"), "cuts"), "cuts")
-    marks = status.where("whole").select("doc_id", "key", F.lit(True).alias("whole"), F.lit(None).cast(cuts.schema["cuts"].dataType).alias("cuts"))
-    marks = marks.union(cuts.join(status.select("doc_id", "key"), "doc_id").select("doc_id", "key", F.lit(False), "cuts"))
-    marks = scratch.write(marks, "marks")
+    cuts = cuts.select(F.col("doc").alias("doc_id"), "cuts").mapInArrow(_merged(width), "doc_id long, from array<int>, to array<int>")
+    runs_ = F.lit(None).cast("array<int>")
+    marks = status.where("whole").select("doc_id", "key", F.lit(True).alias("whole"), runs_.alias("from"), runs_.alias("to"))
+    marks = marks.union(cuts.join(status.select("doc_id", "key"), "doc_id").select("doc_id", "key", F.lit(False), "from", "to"))
+    marks = scratch.write(marks, "marks").select(*(F.col(c).alias(f"__{c}") for c in ("doc_id", "key", "whole", "from", "to")))
     names = docs.columns
-    weight = marks.agg(F.count("*"), F.sum(F.coalesce(F.aggregate("cuts", F.lit(0), lambda a, c: a + F.size(c["gone"])), F.lit(0)))).first()
-    small = weight[0] <= BROADCAST and (weight[1] or 0) <= 100 * BROADCAST
-    marks = marks.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("whole").alias("__whole"), F.col("cuts").alias("__cuts"))
-    joined = docs.join(F.broadcast(marks) if small else marks, F.col(id_col).cast("long") == F.col("__id"), "left")
-    joined = joined.select(*[docs[n] for n in names], F.coalesce("__whole", F.lit(False)).alias("__whole"), "__cuts", "__key")
+    joined = docs.join(_sized(marks, "__from"), F.col(id_col).cast("long") == F.col("__doc_id"), "left")
+    joined = joined.select(*[docs[n] for n in names], F.coalesce("__whole", F.lit(False)).alias("__whole"), "__from", "__to", "__key")
     fields = [*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())]
-    return joined.mapInArrow(_cut(id_col, text_col, names, width), T.StructType(fields))
+    return joined.mapInArrow(_cut(text_col, names), T.StructType(fields))
