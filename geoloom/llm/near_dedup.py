@@ -6,9 +6,11 @@ registers, and two sets agree in a register about as often as their similarity s
 sets that share a band are candidates, a joint maximum-likelihood estimate from the two sketches sorts out most of
 them, and the full sets decide on the rest.
 
-Equal sets are one class. In a bucket (classes that share a band) the class with most bucket mates is compared with
-all others; after the components of those links are known, classes of unlike components in a bucket are compared too.
-So no link is lost, and no group of copies is ever paired with itself.
+Equal sets are one class. In a bucket (classes that share a band) the class with most bucket mates, the leader, is
+compared with all others. Then classes outside their bucket's largest component are compared with the few mates that
+their sketches say are nearest, and at last with all mates of unlike components; no pair is left out but those that the
+estimate, or the triangle inequality with the exact distances to the leader, rules out. So no link is lost, and members
+of a large group of near copies, once linked, are not paired with each other.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ from .shingles import mixed, shingle_sets
 REGISTERS, ROWS, BASE, RATE = 128, 4, 1.001, 20.0
 #: Ids that may be broadcast; beyond, the join shuffles.
 BROADCAST = 1_000_000
+#: Classes of a bucket that meet in one task; larger buckets are dealt out as pairs of blocks.
+BLOCK = 2048
 _FACTORS = mixed(np.arange(1, REGISTERS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
 
 
@@ -115,23 +119,76 @@ def _sets(k):
     return run
 
 
-def _linked(percent):
+def _mates(least: float, far: float, nearest: int | None):
+    """Pairs of bucket mates of unlike components whose estimate is `least` at least: for each class outside the
+    largest component its `nearest` ones, or all of them. Each pair comes from the first band that it shares."""
+
+    def pairs(rows):
+        x = np.frombuffer(b"".join(rows["registers"].to_pylist()), np.uint16).reshape(-1, REGISTERS)
+        ids, n, component, block = (rows[c].to_numpy() for c in ("id", "n", "component", "block"))
+        away = rows["away"].to_numpy(zero_copy_only=False).astype(np.float64)
+        band, two = rows["at"][0].as_py(), rows["lo"][0].as_py() != rows["hi"][0].as_py()
+        kinds, counts = np.unique(component, return_counts=True)
+        out_a, out_b = [], []
+        for i in np.flatnonzero(component != kinds[counts.argmax()]).tolist():
+            ok = (component != component[i]) & (n <= n[i] / far) & (n >= n[i] * far)
+            ok &= ~(np.abs(away - away[i]) > 1 - far + 1e-9)  # unknown distances rule nothing out
+            if two:
+                ok &= block != block[i]
+            at = np.flatnonzero(ok)
+            same = x[at] == x[i]
+            near = same.sum(axis=1) >= (least - 0.05) * REGISTERS
+            at, same = at[near], same[near]
+            if not len(at):
+                continue
+            first = same.reshape(len(at), -1, ROWS).all(axis=2).argmax(axis=1) == band
+            likely = similarity(np.broadcast_to(x[i], (len(at), REGISTERS)), x[at], np.full(len(at), n[i], float), n[at].astype(float))
+            if nearest:
+                at = at[np.argsort(-likely, kind="stable")[:nearest]]
+            else:
+                at = at[first & (likely >= least)]
+            out_a.append(np.minimum(ids[i], ids[at]))
+            out_b.append(np.maximum(ids[i], ids[at]))
+        empty = np.zeros(0, np.int64)
+        columns = [pa.array(np.concatenate(c) if c else empty, pa.int64()) for c in (out_a, out_b)]
+        return pa.RecordBatch.from_arrays(columns, ["a", "b"])
+
     def run(batches):
+        held, key = [], None
         for batch in batches:
-            xs, ys = batch.column("x"), batch.column("y")
-            good = np.zeros(batch.num_rows, bool)
-            for i in range(batch.num_rows):
-                x, y = np.asarray(xs[i].values).view(np.uint64), np.asarray(ys[i].values).view(np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                both = int((y[at] == x).sum())
-                good[i] = 100 * both >= percent * (len(x) + len(y) - both)
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(good)) for c in ("a", "b")], ["a", "b"])
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("band", "lo", "hi")), strict=True))
+            at = 0
+            while at < len(keys):
+                to = at + 1
+                while to < len(keys) and keys[to] == keys[at]:
+                    to += 1
+                if held and keys[at] != key:
+                    yield pairs(pa.Table.from_batches(held).combine_chunks())
+                    held = []
+                key = keys[at]
+                held.append(batch.slice(at, to - at))
+                at = to
+        if held:
+            yield pairs(pa.Table.from_batches(held).combine_chunks())
 
     return run
 
 
+def _compared(batches):
+    """Pairs with their sets' exact intersection and union."""
+    for batch in batches:
+        xs, ys = batch.column("x"), batch.column("y")
+        both, either = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
+        for i in range(batch.num_rows):
+            x, y = np.asarray(xs[i].values).view(np.uint64), np.asarray(ys[i].values).view(np.uint64)
+            if len(x) > len(y):
+                x, y = y, x
+            at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+            both[i] = int((y[at] == x).sum())
+            either[i] = len(x) + len(y) - both[i]
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(both), pa.array(either)], ["a", "b", "both", "either"])
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 75, margin: float = 0.18
 ) -> DataFrame:
@@ -158,37 +215,43 @@ def near_duplicates(
         F.sequence(F.lit(0), F.lit(REGISTERS // ROWS - 1)),
         lambda i: F.xxhash64(i, F.substring("registers", i * (2 * ROWS) + 1, F.lit(2 * ROWS))),
     )
-    banded = own.select("id", "n", F.explode(bands).alias("band"))
+    banded = own.select("id", "n", F.posexplode(bands).alias("at", "band"))
     shared = banded.groupBy("band").agg(F.count("*").alias("mates")).where("mates > 1")
     buckets = scratch.write(banded.join(shared, "band"), "buckets")
     degree = buckets.groupBy("id").agg(F.sum("mates").alias("degree"))
-    ranked = scratch.write(buckets.join(degree, "id").select("band", "id", "n", "degree"), "ranked")
+    ranked = scratch.write(buckets.join(degree, "id").select("band", "at", "id", "n", "mates", "degree"), "ranked")
     leaders = ranked.groupBy("band").agg(F.max(F.struct("degree", (-F.col("id")).alias("at"), "n")).alias("l"))
-    leaders = leaders.select("band", (-F.col("l.at")).alias("leader"), F.col("l.n").alias("leader_n"))
-
-    def ordered(x, y):
-        return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
-
-    def near_size(x, y):  # sets that are linked differ little in size
-        return (100 * F.least(x, y) >= percent * F.greatest(x, y))
-
-    stars = ranked.join(leaders, "band").where(near_size(F.col("n"), F.col("leader_n")) & (F.col("id") != F.col("leader")))
-    first = scratch.write(stars.select(*ordered(F.col("id"), F.col("leader"))).distinct(), "pairs1")
-    links = _verified(spark, scratch, rows, own, first, k, percent, margin, "1")
-    found = components(links, scratch, "stars")
-    placed = ranked.join(found, "id", "left").select("band", "id", "n", F.coalesce("component", "id").alias("component"))
-    placed = scratch.write(placed, "placed")
-    mixed_bands = placed.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("band")
-    rest = placed.join(mixed_bands, "band", "left_semi")
-    x, y = rest.alias("x"), rest.alias("y")
-    across = x.join(
-        y,
-        (F.col("x.band") == F.col("y.band")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component"))
-        & near_size(F.col("x.n"), F.col("y.n")),
-    ).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    second = scratch.write(across.join(first, ["a", "b"], "left_anti"), "pairs2")
-    more = _verified(spark, scratch, rows, own, second, k, percent, margin, "2")
-    found = scratch.write(components(links.union(more), scratch, "all"), "components")
+    leaders = scratch.write(leaders.select("band", (-F.col("l.at")).alias("leader"), F.col("l.n").alias("leader_n")), "leaders")
+    ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
+    # sets that are linked differ little in size
+    near_size = 100 * F.least("n", "leader_n") >= percent * F.greatest("n", "leader_n")
+    stars = ranked.join(leaders, "band").where(near_size & (F.col("id") != F.col("leader")))
+    pairs = scratch.write(stars.select(*ordered(F.col("id"), F.col("leader"))).distinct(), "pairs1")
+    compared = _verified(spark, scratch, rows, own, pairs, k, percent, margin, "1")
+    links = compared.where(100 * F.col("both") >= percent * F.col("either")).select("a", "b")
+    found, done = components(links, scratch, "links1"), pairs
+    apart = compared.select("a", "b", (1 - F.col("both") / F.col("either")).alias("away"))
+    for step, nearest in (("2", 3), ("3", None)):
+        placed = ranked.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        placed = scratch.write(placed.select("band", "at", "id", "n", "mates", "component"), f"placed{step}")
+        unlike = placed.groupBy("band").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c <> d").select("band")
+        rest = placed.join(unlike, "band").join(leaders, "band")
+        rest = rest.select("*", *ordered(F.col("id"), F.col("leader"))).join(apart, ["a", "b"], "left")
+        rest = rest.withColumn("away", F.when(F.col("id") == F.col("leader"), 0.0).otherwise(F.col("away")))
+        # large buckets are dealt out as pairs of blocks
+        count = F.ceil(F.col("mates") / BLOCK).cast("int")
+        rest = rest.withColumn("block", F.pmod(F.xxhash64("id"), count).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
+        rest = rest.select("band", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "at", "id", "n", "component", "away")
+        rest = rest.join(own.select("id", "registers"), "id")
+        dealt = rest.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi")
+        more = dealt.mapInArrow(_mates(percent / 100 - margin, percent / 100, nearest), "a long, b long").distinct()
+        pairs = scratch.write(more.join(done, ["a", "b"], "left_anti"), f"pairs{step}")
+        if pairs.isEmpty():
+            continue
+        done = done.union(pairs)
+        compared = _verified(spark, scratch, rows, own, pairs, k, percent, margin, step)
+        links = links.union(compared.where(100 * F.col("both") >= percent * F.col("either")).select("a", "b"))
+        found = scratch.write(components(links, scratch, f"links{step}"), f"components{step}")
     members = classes.join(found, "id", "left").select("key", F.coalesce("component", "id").alias("component"))
     out = sketched.select("doc_id", "n", "key").join(members, "key", "left")
     component = F.coalesce("component", "doc_id")
@@ -196,9 +259,7 @@ def near_duplicates(
 
 
 def _verified(spark, scratch, rows, own, pairs, k, percent, margin, name) -> DataFrame:
-    """The pairs (a, b) that are links: first by their sketches, then by their full sets."""
-    if pairs.isEmpty():
-        return spark.createDataFrame([], "a long, b long")
+    """The pairs (a, b) that their sketches do not rule out, with the intersection and union of their full sets."""
     x = own.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("registers").alias("x"))
     y = own.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("registers").alias("y"))
     likely = pairs.join(x, "a").join(y, "b").mapInArrow(_likely(percent / 100 - margin), "a long, b long")
@@ -207,8 +268,9 @@ def _verified(spark, scratch, rows, own, pairs, k, percent, margin, name) -> Dat
     side = F.broadcast(ids) if ids.count() <= BROADCAST else ids
     texts = rows.join(side, "doc_id")
     sets = texts.mapInArrow(_sets(k), "id long, shingles array<long>")
-    # of rows that repeat an id the smallest set counts, as in the sketches
-    sets = scratch.write(sets, f"sets{name}")
+    # of rows that repeat an id the smallest set counts
+    least = F.min(F.struct(F.size("shingles").alias("n"), "shingles"))
+    sets = scratch.write(sets.groupBy("id").agg(least.alias("s")).select("id", "s.shingles"), f"sets{name}")
     x, y = (sets.select(F.col("id").alias(i), F.col("shingles").alias(s)) for i, s in (("a", "x"), ("b", "y")))
-    found = likely.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_linked(percent), "a long, b long")
-    return scratch.write(found.distinct(), f"links{name}")
+    both = likely.join(x, "a").join(y, "b").select("a", "b", "x", "y")
+    return scratch.write(both.mapInArrow(_compared, "a long, b long, both long, either long"), f"compared{name}")
