@@ -37,10 +37,13 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Tables written below the shared folder. They cut lineage and survive lost executors.
 
-    They stay until delete(), or, in a function under @owning, until the DataFrame that it returned is no longer
-    referenced."""
+    They stay until delete(). Those made in a function under @owning go some time after the DataFrame that it returned
+    is no longer referenced: not at once, since others may have been made from it, but when the second such function
+    after that begins."""
 
     open: list[list[Scratch]] = []
+    released: list[Scratch] = []
+    leaving: list[Scratch] = []
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -61,18 +64,21 @@ class Scratch:
 
 
 def owning(f):
-    """The scratch tables made in f go when the DataFrame that f returns goes."""
+    """The scratch tables made in f (spark, ...) go after the DataFrame that f returns."""
 
     @functools.wraps(f)
     def run(*args):
         args[0].sparkContext.environment.setdefault("PYTHONPATH", ROOT)  # Python workers import this package
+        for x in Scratch.leaving:
+            _quietly(x.delete)
+        Scratch.leaving, Scratch.released = Scratch.released, []
         Scratch.open.append([])
         try:
             out = f(*args)
         finally:
             made = Scratch.open.pop()
         for x in made:
-            weakref.finalize(out, _quietly, x.delete).atexit = False
+            weakref.finalize(out, lambda x=x: Scratch.released.append(x)).atexit = False
         return out
 
     return run
