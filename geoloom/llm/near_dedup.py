@@ -8,9 +8,9 @@ them, and the full sets decide on the rest.
 
 Equal sets are one class. In a bucket (classes that share a band) the class with most bucket mates, the leader, is
 compared with all others. Then classes outside their bucket's largest component are compared with the few mates that
-their sketches say are nearest, and at last with all mates of unlike components; no pair is left out but those that the
-estimate, or the triangle inequality with the exact distances to the leader, rules out. So no link is lost, and members
-of a large group of near copies, once linked, are not paired with each other.
+their sketches say are nearest, and at last, inside the bucket's task, with all mates of unlike components; no pair is
+left out but those that the estimate, or the triangle inequality with the distances to the leader, rules out. So no
+link between components is lost, and members of a large group of near copies, once linked, are not paired.
 """
 
 from __future__ import annotations
@@ -90,17 +90,14 @@ def _sketched(k):
     return run
 
 
-def _likely(least):
-    def run(batches):
-        for batch in batches:
-            for i in range(0, batch.num_rows, 2048):
-                part = batch.slice(i, 2048)
-                x, y = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("x", "y"))
-                n_x, n_y = (np.asarray(part.column(c)).astype(np.float64) for c in ("n_a", "n_b"))
-                good = similarity(x, y, n_x, n_y) >= least
-                yield pa.RecordBatch.from_arrays([part.column(c).filter(pa.array(good)) for c in ("a", "b")], ["a", "b"])
-
-    return run
+def _estimated(batches):
+    """Pairs with the similarity that their sketches suggest."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, 2048):
+            part = batch.slice(i, 2048)
+            x, y = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("x", "y"))
+            n_x, n_y = (np.asarray(part.column(c)).astype(np.float64) for c in ("n_a", "n_b"))
+            yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(similarity(x, y, n_x, n_y))], ["a", "b", "likely"])
 
 
 def _sets(k):
@@ -119,39 +116,8 @@ def _sets(k):
     return run
 
 
-def _mates(least: float, far: float, nearest: int | None):
-    """Pairs of bucket mates of unlike components whose estimate is `least` at least: for each class outside the
-    largest component its `nearest` ones, or all of them. Each pair comes from the first band that it shares."""
-
-    def pairs(rows):
-        x = np.frombuffer(b"".join(rows["registers"].to_pylist()), np.uint16).reshape(-1, REGISTERS)
-        ids, n, component, block = (rows[c].to_numpy() for c in ("id", "n", "component", "block"))
-        away = rows["away"].to_numpy(zero_copy_only=False).astype(np.float64)
-        band, two = rows["at"][0].as_py(), rows["lo"][0].as_py() != rows["hi"][0].as_py()
-        kinds, counts = np.unique(component, return_counts=True)
-        out_a, out_b = [], []
-        for i in np.flatnonzero(component != kinds[counts.argmax()]).tolist():
-            ok = (component != component[i]) & (n <= n[i] / far) & (n >= n[i] * far)
-            ok &= ~(np.abs(away - away[i]) > 1 - far + 1e-9)  # unknown distances rule nothing out
-            if two:
-                ok &= block != block[i]
-            at = np.flatnonzero(ok)
-            same = x[at] == x[i]
-            near = same.sum(axis=1) >= (least - 0.05) * REGISTERS
-            at, same = at[near], same[near]
-            if not len(at):
-                continue
-            first = same.reshape(len(at), -1, ROWS).all(axis=2).argmax(axis=1) == band
-            likely = similarity(np.broadcast_to(x[i], (len(at), REGISTERS)), x[at], np.full(len(at), n[i], float), n[at].astype(float))
-            if nearest:
-                at = at[np.argsort(-likely, kind="stable")[:nearest]]
-            else:
-                at = at[first & (likely >= least)]
-            out_a.append(np.minimum(ids[i], ids[at]))
-            out_b.append(np.maximum(ids[i], ids[at]))
-        empty = np.zeros(0, np.int64)
-        columns = [pa.array(np.concatenate(c) if c else empty, pa.int64()) for c in (out_a, out_b)]
-        return pa.RecordBatch.from_arrays(columns, ["a", "b"])
+def _grouped(work):
+    """Applies work to the rows of each (band, lo, hi), which come one after the other."""
 
     def run(batches):
         held, key = [], None
@@ -163,17 +129,99 @@ def _mates(least: float, far: float, nearest: int | None):
                 while to < len(keys) and keys[to] == keys[at]:
                     to += 1
                 if held and keys[at] != key:
-                    yield pairs(pa.Table.from_batches(held).combine_chunks())
+                    yield work(pa.Table.from_batches(held).combine_chunks())
                     held = []
                 key = keys[at]
                 held.append(batch.slice(at, to - at))
                 at = to
         if held:
-            yield pairs(pa.Table.from_batches(held).combine_chunks())
+            yield work(pa.Table.from_batches(held).combine_chunks())
 
     return run
 
 
+def _candidates(rows: pa.Table, least: float, far: float, once: bool):
+    """For each class outside the bucket's largest component its place, those of the mates of other components whose
+    estimate is `least` at least, and the estimates. once: a pair counts in the first band that it shares only."""
+    x = np.frombuffer(b"".join(rows["registers"].to_pylist()), np.uint16).reshape(-1, REGISTERS)
+    n, component, block = (rows[c].to_numpy() for c in ("n", "component", "block"))
+    near, away = (np.nan_to_num(rows[c].to_numpy(zero_copy_only=False).astype(np.float64), nan=unknown) for c, unknown in (("near", 0.0), ("away", 1.0)))
+    band, two = rows["at"][0].as_py(), rows["lo"][0].as_py() != rows["hi"][0].as_py()
+    kinds, counts = np.unique(component, return_counts=True)
+    for i in np.flatnonzero(component != kinds[counts.argmax()]).tolist():
+        ok = (component != component[i]) & (n <= n[i] / far) & (n >= n[i] * far)
+        # the leader's distances bound the pair's
+        ok &= np.maximum(near[i] - away, near - away[i]) <= 1 - far + 1e-9
+        if two:
+            ok &= block != block[i]
+        at = np.flatnonzero(ok)
+        same = x[at] == x[i]
+        good = same.sum(axis=1) >= (least - 0.05) * REGISTERS
+        if once:
+            good &= same.reshape(len(at), REGISTERS // ROWS, ROWS).all(axis=2).argmax(axis=1) == band
+        at = at[good]
+        if len(at):
+            likely = similarity(np.broadcast_to(x[i], (len(at), REGISTERS)), x[at], np.full(len(at), n[i], float), n[at].astype(float))
+            if (likely >= least).any():
+                yield i, at[likely >= least], likely[likely >= least]
+
+
+def _nearest(least: float, far: float, most: int):
+    """Pairs of each class outside the largest component with its most similar mates of other components."""
+
+    def work(rows):
+        ids = rows["id"].to_numpy()
+        pairs = [(ids[i], ids[j]) for i, at, likely in _candidates(rows, least, far, False) for j in at[np.argsort(-likely, kind="stable")[:most]]]
+        low, high = np.sort(np.array(pairs, np.int64).reshape(-1, 2), axis=1).T
+        return pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], ["a", "b"])
+
+    return _grouped(work)
+
+
+def _involved(least: float, far: float):
+    """The rows that have a mate to be compared with."""
+
+    def work(rows):
+        some = np.zeros(rows.num_rows, bool)
+        for i, at, _ in _candidates(rows, least, far, True):
+            some[i] = True
+            some[at] = True
+        return pa.RecordBatch.from_arrays([c.combine_chunks() for c in rows.filter(pa.array(some)).columns], rows.column_names)
+
+    return _grouped(work)
+
+
+def _joined(least: float, far: float, percent: int):
+    """Links (a, b) that join components: all candidates of a bucket are compared by their full sets, but those whose
+    components a link found here joins already."""
+
+    def work(rows):
+        ids, component = rows["id"].to_numpy(), rows["component"].to_numpy()
+        sets = [np.asarray(v.values).view(np.uint64) for v in rows["shingles"]]
+        root: dict[int, int] = {}
+
+        def find(c):
+            while (up := root.get(c, c)) != c:
+                c = up
+            return c
+
+        out = []
+        for i, at, likely in _candidates(rows, least, far, True):
+            for j in at[np.argsort(-likely, kind="stable")].tolist():
+                a, b = find(component[i]), find(component[j])
+                if a == b:
+                    continue
+                x, y = sorted((sets[i], sets[j]), key=len)
+                both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+                if 100 * both >= percent * (len(x) + len(y) - both):
+                    root[max(a, b)] = min(a, b)
+                    out.append((ids[i], ids[j]))
+        low, high = np.sort(np.array(out, np.int64).reshape(-1, 2), axis=1).T
+        return pa.RecordBatch.from_arrays([pa.array(low), pa.array(high)], ["a", "b"])
+
+    return _grouped(work)
+
+
 def _compared(batches):
     """Pairs with their sets' exact intersection and union."""
     for batch in batches:
@@ -217,6 +265,8 @@ def near_duplicates(
     )
     banded = own.select("id", "n", F.posexplode(bands).alias("at", "band"))
     shared = banded.groupBy("band").agg(F.count("*").alias("mates")).where("mates > 1")
+    # written first: where both sides of a join are plain rows, a very large bucket or class can be split
+    shared = scratch.write(shared, "shared")
     buckets = scratch.write(banded.join(shared, "band"), "buckets")
     degree = buckets.groupBy("id").agg(F.sum("mates").alias("degree"))
     ranked = scratch.write(buckets.join(degree, "id").select("band", "at", "id", "n", "mates", "degree"), "ranked")
@@ -227,50 +277,63 @@ def near_duplicates(
     near_size = 100 * F.least("n", "leader_n") >= percent * F.greatest("n", "leader_n")
     stars = ranked.join(leaders, "band").where(near_size & (F.col("id") != F.col("leader")))
     pairs = scratch.write(stars.select(*ordered(F.col("id"), F.col("leader"))).distinct(), "pairs1")
-    compared = _verified(spark, scratch, rows, own, pairs, k, percent, margin, "1")
+    x = own.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("registers").alias("x"))
+    y = own.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("registers").alias("y"))
+    guessed = scratch.write(pairs.join(x, "a").join(y, "b").mapInArrow(_estimated, "a long, b long, likely double"), "estimated")
+    likely, unlikely = (guessed.where(F.col("likely") >= percent / 100 - margin), guessed.where(F.col("likely") < percent / 100 - margin))
+    compared = _verified(scratch, rows, likely.select("a", "b"), k, "1")
     links = compared.where(100 * F.col("both") >= percent * F.col("either")).select("a", "b")
-    found, done = components(links, scratch, "links1"), pairs
-    apart = compared.select("a", "b", (1 - F.col("both") / F.col("either")).alias("away"))
+    found = components(links, scratch, "joined1")
+    # distances to leaders: exact, or the least that the estimate allows
+    exact = (1 - F.col("both") / F.col("either"))
+    apart = compared.select("a", "b", exact.alias("near"), exact.alias("away"))
+    apart = scratch.write(apart.union(unlikely.select("a", "b", 1 - F.col("likely") - margin, F.lit(1.0))), "apart")
     for step, nearest in (("2", 3), ("3", None)):
         placed = ranked.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
         placed = scratch.write(placed.select("band", "at", "id", "n", "mates", "component"), f"placed{step}")
         unlike = placed.groupBy("band").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c <> d").select("band")
+        unlike = scratch.write(unlike, f"unlike{step}")
         rest = placed.join(unlike, "band").join(leaders, "band")
         rest = rest.select("*", *ordered(F.col("id"), F.col("leader"))).join(apart, ["a", "b"], "left")
-        rest = rest.withColumn("away", F.when(F.col("id") == F.col("leader"), 0.0).otherwise(F.col("away")))
+        rest = rest.withColumns({c: F.when(F.col("id") == F.col("leader"), 0.0).otherwise(F.col(c)) for c in ("near", "away")})
         # large buckets are dealt out as pairs of blocks
         count = F.ceil(F.col("mates") / BLOCK).cast("int")
         rest = rest.withColumn("block", F.pmod(F.xxhash64("id"), count).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
-        rest = rest.select("band", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "at", "id", "n", "component", "away")
+        rest = rest.select("band", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "at", "id", "n", "component", "near", "away")
         rest = rest.join(own.select("id", "registers"), "id")
         dealt = rest.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi")
-        more = dealt.mapInArrow(_mates(percent / 100 - margin, percent / 100, nearest), "a long, b long").distinct()
-        pairs = scratch.write(more.join(done, ["a", "b"], "left_anti"), f"pairs{step}")
-        if pairs.isEmpty():
-            continue
-        done = done.union(pairs)
-        compared = _verified(spark, scratch, rows, own, pairs, k, percent, margin, step)
-        links = links.union(compared.where(100 * F.col("both") >= percent * F.col("either")).select("a", "b"))
-        found = scratch.write(components(links, scratch, f"links{step}"), f"components{step}")
+        least, far = percent / 100 - margin, percent / 100
+        if nearest:
+            more = dealt.mapInArrow(_nearest(least, far, nearest), "a long, b long").distinct()
+            more = scratch.write(more.join(pairs, ["a", "b"], "left_anti"), f"pairs{step}")
+            compared = _verified(scratch, rows, more, k, step)
+            links = links.union(compared.where(100 * F.col("both") >= percent * F.col("either")).select("a", "b"))
+        else:
+            some = scratch.write(dealt.mapInArrow(_involved(least, far), dealt.schema), "involved")
+            sets = _set_table(scratch, rows, some.select(F.col("id").alias("doc_id")).distinct(), k, step)
+            dealt = some.join(sets, "id").repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi")
+            links = links.union(scratch.write(dealt.mapInArrow(_joined(least, far, percent), "a long, b long"), f"links{step}"))
+        found = scratch.write(components(links, scratch, f"joined{step}"), f"components{step}")
     members = classes.join(found, "id", "left").select("key", F.coalesce("component", "id").alias("component"))
+    members = scratch.write(members, "members")
     out = sketched.select("doc_id", "n", "key").join(members, "key", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (component == F.col("doc_id")).alias("kept"))
 
 
-def _verified(spark, scratch, rows, own, pairs, k, percent, margin, name) -> DataFrame:
-    """The pairs (a, b) that their sketches do not rule out, with the intersection and union of their full sets."""
-    x = own.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("registers").alias("x"))
-    y = own.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("registers").alias("y"))
-    likely = pairs.join(x, "a").join(y, "b").mapInArrow(_likely(percent / 100 - margin), "a long, b long")
-    likely = scratch.write(likely, f"likely{name}")
-    ids = scratch.write(likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct(), f"ids{name}")
+def _set_table(scratch, rows, ids, k, name) -> DataFrame:
+    """(id, shingles) of the ids (doc_id)."""
+    ids = scratch.write(ids, f"ids{name}")
     side = F.broadcast(ids) if ids.count() <= BROADCAST else ids
-    texts = rows.join(side, "doc_id")
-    sets = texts.mapInArrow(_sets(k), "id long, shingles array<long>")
+    sets = rows.join(side, "doc_id").mapInArrow(_sets(k), "id long, shingles array<long>")
     # of rows that repeat an id the smallest set counts
     least = F.min(F.struct(F.size("shingles").alias("n"), "shingles"))
-    sets = scratch.write(sets.groupBy("id").agg(least.alias("s")).select("id", "s.shingles"), f"sets{name}")
+    return scratch.write(sets.groupBy("id").agg(least.alias("s")).select("id", "s.shingles"), f"sets{name}")
+
+
+def _verified(scratch, rows, pairs, k, name) -> DataFrame:
+    """The pairs (a, b) with the intersection and union of their full sets."""
+    sets = _set_table(scratch, rows, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), k, name)
     x, y = (sets.select(F.col("id").alias(i), F.col("shingles").alias(s)) for i, s in (("a", "x"), ("b", "y")))
-    both = likely.join(x, "a").join(y, "b").select("a", "b", "x", "y")
+    both = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
     return scratch.write(both.mapInArrow(_compared, "a long, b long, both long, either long"), f"compared{name}")
