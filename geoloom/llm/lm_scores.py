@@ -8,24 +8,27 @@ the tables, by broadcast while a table is small and by shuffle beyond, and are s
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import Scratch
 
-#: Table rows that may be broadcast.
-BROADCAST = 2_000_000
+#: Table rows that may be broadcast: words one by one, pairs in slots of about SLOT pairs.
+BROADCAST, SLOT = 4_000_000, 32
 CUTOFF, BACKOFF = 5, 0.4
 
 
 @dataclass
 class Model:
-    """words: (word hash, ln score); pairs: (pair hash, ln score); unknown: ln score of a word below the cutoff."""
+    """Counts, as logarithms: words (w, n), pairs (pair hash, m), all words below the cutoff together, all words."""
 
     words: DataFrame
     pairs: DataFrame
     unknown: float
+    total: float
+    backoff: float
 
 
 def _words(text: Column) -> Column:
@@ -37,6 +40,20 @@ def _sized(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= BROADCAST else table
 
 
+def _with_pairs(tokens: DataFrame, pairs: DataFrame) -> DataFrame:
+    """tokens (pair, ...) with m of their pair, null if it has none. A small table is broadcast, a row for each slot of
+    hashes, which takes a fifth of the memory of a row for each pair."""
+    n = pairs.count()
+    if n > BROADCAST:
+        return tokens.join(pairs, "pair", "left")
+    slot = F.pmod(F.col("pair"), F.lit(n // SLOT + 1))
+    slots = pairs.groupBy(slot.alias("slot")).agg(F.collect_list(F.struct("pair", "m")).alias("s"))
+    slots = slots.select("slot", F.col("s.pair").alias("own"), F.col("s.m").alias("ms"))
+    found = tokens.withColumn("slot", slot).join(F.broadcast(slots), "slot", "left")
+    m = F.get("ms", F.array_position("own", F.col("pair")).cast("int") - 1)
+    return found.withColumn("m", m).drop("slot", "own", "ms")
+
+
 def _pairs(docs: DataFrame, text_col: str, *more: str) -> DataFrame:
     """A row for each word: its hash w, the next word's hash v (null at a text's end), and the columns named."""
     hashes = docs.select(*more, _words(F.col(text_col)).alias("ws"))
@@ -52,12 +69,12 @@ def fit(docs: DataFrame, scratch: Scratch, text_col: str = "text", cutoff: int =
     frequent = counts.where(F.col("n") >= cutoff)
     side = _sized(frequent.select("w"))
     pairs = _pairs(docs, text_col).where("v is not null").join(side, "w").join(side.withColumnRenamed("w", "v"), "v")
-    pairs = pairs.groupBy("w", "v").agg(F.count("*").alias("m")).where(F.col("m") >= cutoff)
-    pairs = pairs.join(frequent, "w").select(F.xxhash64("w", "v").alias("pair"), F.ln(F.col("m") / F.col("n")).alias("score"))
-    one = frequent.select("w", F.ln(F.lit(backoff) * F.col("n") / F.lit(float(max(total, 1)))).alias("score"))
-    unknown = F.ln(F.lit(backoff) * F.lit(float(max(total - known, 1))) / F.lit(float(max(total, 1))))
-    value = docs.sparkSession.range(1).select(unknown).first()[0]
-    return Model(scratch.write(one, "words"), scratch.write(pairs, "pairs"), value)
+    pairs = pairs.groupBy(F.xxhash64("w", "v").alias("pair")).agg(F.count("*").alias("m")).where(F.col("m") >= cutoff)
+    return Model(
+        scratch.write(frequent.select("w", F.ln("n").alias("n")), "words"),
+        scratch.write(pairs.select("pair", F.ln("m").alias("m")), "pairs"),
+        math.log(max(total - known, 1)), math.log(max(total, 1)), backoff,
+    )
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -67,10 +84,12 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     each = _pairs(rows, "text", "doc_id")
     firsts = rows.select("doc_id", F.get(_words(F.col("text")), F.lit(0)).alias("v"), F.lit(None).cast("long").alias("w")).where("v is not null")
     tokens = each.where("v is not null").select("doc_id", "v", "w").union(firsts)
-    keyed = tokens.select("doc_id", "v", F.when(F.col("w").isNotNull(), F.xxhash64("w", "v")).alias("pair"))
-    found = keyed.join(_sized(model.pairs).withColumnRenamed("score", "two"), "pair", "left")
-    found = found.join(_sized(model.words).select(F.col("w").alias("v"), F.col("score").alias("one")), "v", "left")
-    sums = found.groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.sum(F.coalesce("two", "one", F.lit(model.unknown))).alias("log_score"))
+    keyed = tokens.select("doc_id", "v", "w", F.when(F.col("w").isNotNull(), F.xxhash64("w", "v")).alias("pair"))
+    words = _sized(model.words)
+    found = _with_pairs(keyed, model.pairs).join(words, "w", "left")
+    found = found.join(words.select(F.col("w").alias("v"), F.col("n").alias("one")), "v", "left")
+    backed_off = F.coalesce("one", F.lit(model.unknown)) + F.lit(math.log(model.backoff) - model.total)
+    sums = found.groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.sum(F.coalesce(F.col("m") - F.col("n"), backed_off)).alias("log_score"))
     blank = rows.where(F.size(_words(F.col("text"))) == 0).select("doc_id", F.lit(0).cast("long").alias("n_tokens"), F.lit(0.0).alias("log_score"))
     return sums.union(blank).groupBy("doc_id").agg(F.sum("n_tokens").alias("n_tokens"), F.sum("log_score").alias("log_score"))
 
