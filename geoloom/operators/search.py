@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.geometry import haversine, in_box
 from ..functions.text import normalize_address, parse_closest, tokens
+from ..plans.tables import settled
 
 
 def postings(buildings: DataFrame) -> DataFrame:
@@ -124,7 +125,8 @@ def search_substring(queries: DataFrame, buildings: DataFrame, posting: DataFram
 
     A `closest X to Y` whose Y is found nowhere gives the plain ranked X."""
     found = search_two_sided(queries, posting or postings(buildings))
-    sides = ranked(found, queries, buildings).join(found, ["query_id", "building_id"])
+    found = settled(found)
+    sides = settled(ranked(found, queries, buildings).join(found, ["query_id", "building_id"]))  # read three times
     near = closest_to(sides)
     plain = sides.where("side = 'from'").join(near.select("query_id"), "query_id", "left_anti").drop("side")
     one = sides.where("side = 'from'").join(near, ["query_id", "building_id"]).withColumn("rank", F.lit(0)).drop("side")

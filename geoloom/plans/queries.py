@@ -12,6 +12,7 @@ from ..sources import osm
 from . import oracle as O
 from .fixtures import fixture
 from .preprocess import interpolate_street, preprocess, with_addresses
+from .tables import settled
 
 ROOT = str(Path(__file__).resolve().parents[2])
 QUERIES: dict = {}
@@ -40,7 +41,8 @@ def raw(fx) -> DataFrame:
 
 
 def enriched(fx) -> DataFrame:
-    return interpolate_street(with_addresses(raw(fx), fx("fx_area_vertices")), fx("fx_street_points"))
+    """The table that preprocessing leaves, settled as a snapshot would be."""
+    return settled(interpolate_street(with_addresses(raw(fx), fx("fx_area_vertices")), fx("fx_street_points")))
 
 
 _KEYS = {"building": "building", "shop": "shop", "amenity": "amenity", "highway": "highway", "boundary": "boundary", "name": "name", "name_de": "name:de", "brand": "brand", "brand_de": "brand:de", "street": "addr:street", "street_de": "addr:street:de", "house_number": "addr:housenumber", "admin_level": "admin_level"}
