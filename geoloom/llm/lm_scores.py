@@ -1,9 +1,14 @@
 """Stupid-backoff scores, computed relationally over the whole corpus.
 
-Words and pairs of words are exploded and counted into tables that are partitioned by hash. Counts below a cutoff are
-pruned from the model: rare words count as one unknown word, and a pair without an entry backs off to its second word.
-A pair can only reach the cutoff if both of its words do, so only such pairs are counted. Documents' words then join
-the tables, by broadcast while a table is small and by shuffle beyond, and are summed per document.
+Words and pairs of words are exploded and counted into tables that are partitioned by hash. By default every word and
+every pair has its own count. Each pair of a text then has an entry, so a text's score is a sum of logarithms of counts:
+those of its pairs, less those of their first words, and one backed-off first word. Words and pairs that occur COMMON
+times or more are counted into tables and joined, by broadcast while a table is small and by shuffle beyond; the others
+are counted where their few occurrences meet in a shuffle, so no table of them is made.
+
+With a cutoff above 1, counts below it are pruned from the model: rare words count as one unknown word, and a pair
+without an entry backs off to its second word. A pair can only reach a count if both of its words do, so only such
+pairs are counted.
 """
 
 from __future__ import annotations
@@ -11,13 +16,15 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import Scratch
 
 #: Table rows that may be broadcast: words one by one, pairs in slots of about SLOT pairs.
 BROADCAST, SLOT = 4_000_000, 32
-CUTOFF, BACKOFF = 5, 0.4
+CUTOFF, BACKOFF = 1, 0.4
+#: Without a cutoff, the count from which words and pairs are in tables; rarer ones are counted where they meet.
+COMMON = 5
 
 
 @dataclass
@@ -94,12 +101,40 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return sums.union(blank).groupBy("doc_id").agg(F.sum("n_tokens").alias("n_tokens"), F.sum("log_score").alias("log_score"))
 
 
+def _whole(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, backoff: float) -> DataFrame:
+    """doc_id, n_tokens and log_score of each id under the model of docs themselves, without a cutoff.
+
+    A word that is not its text's last is divided by once, a text's first word counts once: c is the sum of the two."""
+    model = fit(docs, scratch, text_col, COMMON, backoff)
+    rows = docs.select(F.col(id_col).alias("doc_id"), _words(F.col(text_col)).alias("ws"))
+    at = rows.select("doc_id", "ws", F.posexplode("ws").alias("i", "w"))
+    at = at.select("doc_id", "w", F.get("ws", F.col("i") + 1).alias("v"), (F.col("i") == 0).cast("int").alias("first"))
+    last = F.col("v").isNull()
+    tokens = at.select(
+        "doc_id", "w", F.when(~last, F.xxhash64("w", "v")).alias("pair"), "first", (F.col("first") - (~last).cast("int")).alias("c")
+    )
+    found = _with_pairs(tokens, model.pairs).join(_sized(model.words), "w", "left")
+    start = F.col("first") * F.lit(math.log(backoff) - model.total)
+    known = found.groupBy("doc_id").agg(
+        F.count("*").alias("n_tokens"), F.sum(F.coalesce("m", F.lit(0.0)) + F.col("c") * F.coalesce("n", F.lit(0.0)) + start).alias("log_score")
+    )
+    of_pair = F.when(F.col("pair").isNotNull() & F.col("m").isNull(), F.struct(F.col("pair").alias("key"), F.lit(1).alias("c")))
+    of_word = F.when(F.col("n").isNull(), F.struct(F.col("w").alias("key"), "c"))
+    rare = found.where("n is null or pair is not null and m is null").select("doc_id", F.explode(F.array_compact(F.array(of_pair, of_word))).alias("x"))
+    rare = rare.select("doc_id", "x.key", "x.c").withColumn("n", F.count("*").over(Window.partitionBy("key")))
+    rare = rare.groupBy("doc_id").agg(F.lit(0).cast("long").alias("n_tokens"), F.sum(F.col("c") * F.ln("n")).alias("log_score"))
+    blank = rows.where(F.size("ws") == 0).select("doc_id", F.lit(0).cast("long").alias("n_tokens"), F.lit(0.0).alias("log_score"))
+    return known.union(rare).union(blank).groupBy("doc_id").agg(F.sum("n_tokens").alias("n_tokens"), F.sum("log_score").alias("log_score"))
+
+
 def stupid_backoff(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cutoff: int = CUTOFF, backoff: float = BACKOFF) -> DataFrame:
     """doc_id, n_tokens, log_score of every document under the model of all documents.
 
     Words are `[^\\x20\\x09-\\x0D]+`. A word's score after another is the pair's count divided by that of the first
-    word, if the pair's count reaches cutoff; else backoff times the word's share of all words; words below the cutoff
-    share the count of all of them together. Rows that repeat an id, or have none, are one document whose scores add
+    word, if the pair's count reaches cutoff; else backoff times the word's share of all words; words below a cutoff
+    above 1 share the count of all of them together. Rows that repeat an id, or have none, are one document whose scores add
     up; pairs never cross rows. Other columns are ignored. An empty table gives an empty result."""
     scratch = Scratch(docs.sparkSession, "backoff")
+    if cutoff <= 1:
+        return _whole(docs, scratch, id_col, text_col, backoff)
     return score(docs, fit(docs, scratch, text_col, cutoff, backoff), id_col, text_col)

@@ -1,4 +1,6 @@
+import math
 import random
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -105,6 +107,22 @@ def test_backoff_by_shuffle_equals_broadcast(spark, monkeypatch):
     assert lm_scores.stupid_backoff(df.limit(0)).count() == 0
 
 
+def test_rare_words_and_pairs_have_their_own_counts(spark, monkeypatch):
+    r = random.Random(9)
+    rows = [(i, " ".join(r.choices("abcdefgh", k=r.randrange(40)) + [f"seen{i % 25}", f"once{i}"] * (i % 3))) for i in range(60)] + [(70, None), (70, "a lone"), (None, "once")]
+    ws = [(i, (t or "").split()) for i, t in rows]
+    one, two = Counter(w for _, x in ws for w in x), Counter(p for _, x in ws for p in zip(x, x[1:]))
+    want = {}
+    for i, x in ws:
+        scores = [math.log(0.4 * one[w] / one.total()) for w in x[:1]] + [math.log(two[p] / one[p[0]]) for p in zip(x, x[1:])]
+        want[i] = want.get(i, 0.0) + sum(scores)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for broadcast in (lm_scores.BROADCAST, -1):
+        monkeypatch.setattr(lm_scores, "BROADCAST", broadcast)
+        got = {x.doc_id: x.log_score for x in lm_scores.stupid_backoff(df).collect()}
+        assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in want)
+
+
 def test_top_k_equals_brute_force(spark, monkeypatch):
     for name, value in (("TREE", 64), ("PAGE", 8), ("BLOCK", 16)):
         monkeypatch.setattr(metric_search, name, value)
