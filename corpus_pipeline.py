@@ -1,7 +1,8 @@
 """The corpus pipeline: stages over `documents`, each written as Parquet and read again by the next.
 
 A stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the columns of
-documents. Rows without a doc_id pass the filtering stages.
+documents. Rows without a doc_id pass the filtering stages; each other row is judged by itself, also where rows share a
+doc_id.
 """
 
 from __future__ import annotations
@@ -12,24 +13,29 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from geoloom.llm import exact_dedup, near_dedup, packing, substring_dedup, toxicity
 from geoloom.llm.common import Scratch, load, owning
 
-#: Ids that may be broadcast; beyond, the join shuffles.
+#: Row numbers that may be broadcast; beyond, the join shuffles.
 BROADCAST = 1_000_000
 #: Score from which a document is rejected as toxic.
 TOXIC = 0.7
 
 
+def _numbered(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """docs with __row, a number of each row in the order of doc_id, null where that is null: doc_id itself if no two rows
+    share one. Else the numbers are written first, so that they stay."""
+    ids = docs.where("doc_id is not null").groupBy("doc_id").count()
+    if ids.where("count > 1").isEmpty():
+        return docs.withColumn("__row", F.col("doc_id"))
+    placed = docs.withColumn("__row", F.monotonically_increasing_id()).orderBy("doc_id", F.xxhash64("text"), "__row")
+    placed = scratch.write(placed.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    return placed.withColumn("__row", F.when(F.col("doc_id").isNotNull(), F.col("__row")))
+
+
 def _without(docs: DataFrame, decisions: DataFrame, scratch: Scratch) -> DataFrame:
-    """docs less the ids of which decisions (doc_id, kept) keeps no row; of rows that repeat a kept id and its text one
-    stays if decisions keeps one and drops others."""
-    fate = decisions.groupBy("doc_id").agg(F.max("kept").alias("any"), F.min("kept").alias("all"))
-    fate = scratch.write(fate.where("not `all` and doc_id is not null"), "fate")
-    dropped, mixed = fate.where("not any").select("doc_id"), fate.where("any").select("doc_id")
-    sized = lambda ids: F.broadcast(ids) if ids.count() <= BROADCAST else ids
-    kept = docs.join(sized(dropped), "doc_id", "left_anti")
-    if not mixed.isEmpty():
-        side = sized(mixed)
-        kept = kept.join(side, "doc_id", "left_anti").unionByName(kept.join(side, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
-    return kept.select(*docs.columns)
+    """docs (__row, ...) less the rows that decisions (doc_id: the row's number, kept) does not keep."""
+    dropped = decisions.where("not kept and doc_id is not null").select(F.col("doc_id").alias("__row"))
+    dropped = scratch.write(dropped, "dropped")
+    side = F.broadcast(dropped) if dropped.count() <= BROADCAST else dropped
+    return docs.join(side, "__row", "left_anti").drop("__row")
 
 
 @owning
@@ -40,18 +46,22 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 @owning
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, exact_dedup.deduplicate(docs), Scratch(spark, "stage"))
+    scratch = Scratch(spark, "stage")
+    rows = _numbered(docs, scratch)
+    return _without(rows, exact_dedup.deduplicate(rows, "__row"), scratch)
 
 
 @owning
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, near_dedup.near_duplicates(docs), Scratch(spark, "stage"))
+    scratch = Scratch(spark, "stage")
+    rows = _numbered(docs, scratch)
+    return _without(rows, near_dedup.near_duplicates(rows, "__row"), scratch)
 
 
 @owning
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A document of which nothing is removed keeps its text as it is."""
-    cut = substring_dedup.remove_repeats(docs)
+    cut = substring_dedup.remove_repeats(_numbered(docs, Scratch(spark, "stage")), id_col="__row")
     text = F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text"))
     n_chars = F.when(F.col("n_removed") > 0, F.char_length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
     return cut.withColumns({"text": text, "n_chars": n_chars}).select(*docs.columns)

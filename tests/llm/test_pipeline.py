@@ -38,3 +38,21 @@ def test_filters_keep_rows_without_an_id(spark):
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
         docs = spark.createDataFrame(docs.collect(), docs.schema)
     assert sorted(r.doc_id or -1 for r in docs.collect()) == [-1, 2, 3]
+
+
+def test_rows_that_share_an_id_are_judged_each(spark):
+    long = lambda k: " ".join(f"{k}{i}" for i in range(80))
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    frame = lambda rows: spark.createDataFrame([(i, t, "en", "s", 5) for i, t in rows], schema)
+    read = lambda df: sorted((r.doc_id, r.text) for r in df.collect())
+    a, b, c = long("a"), long("b"), long("c")
+    # a copy whose id also has another text; a copy of it has a larger id
+    exact = frame([(1, a), (1, b), (2, a)])
+    assert read(corpus_pipeline.drop_exact_copies(spark, exact, SMALL)) == [(1, b), (2, a)]
+    # id 2: a short text and a near copy; id 3: a near copy, shorter than the clean text beside it
+    near_b = b.rsplit(" ", 2)[0]
+    near = frame([(1, a), (1, b), (2, "x"), (2, a + " more"), (3, near_b), (3, c)])
+    assert read(corpus_pipeline.drop_near_copies(spark, near, SMALL)) == sorted([(1, a), (1, b), (2, "x"), (3, c)])
+    # id 2: the longer row repeats a passage
+    cut = frame([(1, a), (2, b), (2, c + " " + a)])
+    assert read(corpus_pipeline.cut_repeats(spark, cut, SMALL)) == sorted([(1, a), (2, b), (2, c)])
