@@ -18,15 +18,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import blocks, ragged, spread
+from .common import Kept, blocks, lean, ragged, spread
 
 #: The code points of Unicode's White_Space property.
 WHITE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 PIECES = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
-#: Longer pieces are not kept between batches, and no more of them than this.
-KEPT_CHARS, KEPT = 40, 150_000
 #: Bytes of text, and distinct pieces, that are encoded at a time.
-BLOCK, SLICE = 2 << 20, 8192
+BLOCK, SLICE = 2 << 20, 4096
 
 
 def byte_chars() -> list[str]:
@@ -64,35 +62,24 @@ class Codec:
         self.lengths = np.array([len(t) for t in table], np.int64)
         self.starts = np.cumsum(self.lengths) - self.lengths
         self.bytes = np.frombuffer(b"".join(table), np.uint8)
-        self.kept: dict[str, int] = {}
-        self.ids: list[np.ndarray] = []
+        self.kept = Kept()
+
+    def _ids(self, pieces: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.model.encode_batch_fast(pieces, add_special_tokens=False)]
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Offsets of each text's ids, and the ids."""
-        if len(self.ids) > KEPT:
-            self.kept, self.ids = {}, []
-        pieces = [PIECES.findall(t) for t in texts]
-        counts = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        flat = [p for own in pieces for p in own]
-        kept, base = self.kept, len(self.ids)
-        missing = [p for p in dict.fromkeys(flat) if p not in kept]
-        arrays = []
-        for i in range(0, len(missing), SLICE):  # the library's results are large: few of them at a time
-            found = self.model.encode_batch_fast(missing[i : i + SLICE], add_special_tokens=False)
-            arrays += [np.array(e.ids, np.int32) for e in found]
-        local = {p: base + i for i, p in enumerate(missing)}
-        ids = self.ids + arrays
-        at = np.fromiter((kept[p] if p in kept else local[p] for p in flat), np.int64, len(flat))
-        keep = [i for i, p in enumerate(missing) if len(p) <= KEPT_CHARS]
-        for n, i in enumerate(keep):
-            kept[missing[i]] = base + n
-        self.ids += [arrays[i] for i in keep]
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids))
-        values = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-        starts = np.cumsum(lengths) - lengths
-        sizes = lengths[at]
+        number: dict[str, int] = {}  # of each distinct piece
+        counts, index = [], []
+        for t in texts:
+            own = PIECES.findall(t)
+            counts.append(len(own))
+            index.append(np.fromiter((number.setdefault(p, len(number)) for p in own), np.int64, len(own)))
+        at, starts, lengths, values = self.kept.look_up(list(number), self._ids, SLICE)
+        place = at[np.concatenate(index)] if index else at
+        sizes = lengths[place]
         ends = np.concatenate(([0], np.cumsum(sizes)))
-        return ends[np.concatenate(([0], np.cumsum(counts)))], values[spread(starts[at], sizes)]
+        return ends[np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))], values.astype(np.int32)[spread(starts[place], sizes)]
 
     def decode(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Lengths in bytes of the ids' strings, and all their bytes."""
@@ -141,9 +128,10 @@ def encode(docs: DataFrame, vocabulary: str, text_col: str = "text", offsets: bo
                 start, end = characters(data, lengths, first)
                 more += [ragged(x.astype(np.int32), ends, pa.int32()) for x in (byte_ends[:-1] - first, start, end)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*names, *new])
+        own.kept.clear()
 
     fields = [*docs.schema.fields, *(T.StructField(n, T.ArrayType(T.IntegerType())) for n in new)]
-    return docs.mapInArrow(run, T.StructType(fields))
+    return docs.mapInArrow(lean(run), T.StructType(fields))
 
 
 def decode(docs: DataFrame, vocabulary: str, ids_col: str = "ids", to: str = "decoded") -> DataFrame:
@@ -167,7 +155,7 @@ def decode(docs: DataFrame, vocabulary: str, ids_col: str = "ids", to: str = "de
                 )
                 yield pa.RecordBatch.from_arrays([*part.columns, out.cast(pa.binary())], [*names, to])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(to, T.BinaryType())]))
+    return docs.mapInArrow(lean(run), T.StructType([*docs.schema.fields, T.StructField(to, T.BinaryType())]))
 
 
 def text_of(decoded: bytes) -> str:

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
-import tempfile
+import gc
 import uuid
 import weakref
 from pathlib import Path
@@ -11,11 +12,14 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parents[2])
 #: Bytes of text that a Python task handles at a time.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 3 << 20
+#: Pieces, and their ids, that a task keeps between blocks.
+KEPT, KEPT_IDS, KEPT_LENGTH = 200_000, 2_000_000, 40
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -23,14 +27,12 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a new local one only where the session names none."""
+    """The folder that driver and executors share: spark.checkpoint.dir, the context's checkpoint folder, or where
+    neither is set a folder in the warehouse, which is shared too."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         kept = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if kept.isDefined():
-            return kept.get()
-        path = tempfile.mkdtemp(prefix="geoloom-")
-        spark.sparkContext.setCheckpointDir(path)
+        path = kept.get() if kept.isDefined() else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
     return path
 
 
@@ -91,6 +93,61 @@ def _quietly(delete) -> None:
         pass
 
 
+def lean(run):
+    """run, a function for mapInArrow, whose worker gives the memory back that it no longer needs when a task ends.
+    Workers serve many tasks, those of later operators too."""
+    if (context := SparkContext._active_spark_context) is not None:
+        context.environment.setdefault("PYTHONPATH", ROOT)  # Python workers import this package
+
+    def tidy(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return tidy
+
+
+def trim() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except AttributeError:  # not the GNU C library
+        pass
+
+
+class Kept:
+    """The ids of pieces of text, kept between the blocks of a task in one flat array of bounded size."""
+
+    def __init__(self):
+        self.clear()
+
+    def clear(self) -> None:
+        self.places, self.lengths, self.ids = {}, np.zeros(0, np.int64), np.zeros(0, np.uint32)
+
+    def look_up(self, pieces: list, encode, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """For distinct pieces: the place of each, and by place the start and number of its ids in the last array.
+        encode gets `step` unknown pieces at a time, and returns a list of ids for each."""
+        places, base = self.places, len(self.lengths)
+        at = np.fromiter((places.get(p, -1) for p in pieces), np.int64, len(pieces))
+        new = np.flatnonzero(at < 0)
+        missing = [pieces[i] for i in new.tolist()]
+        lengths, ids = [self.lengths], [self.ids]
+        for k in range(0, len(missing), step):
+            found = encode(missing[k : k + step])
+            lengths.append(np.fromiter(map(len, found), np.int64, len(found)))
+            ids.append(np.fromiter((i for x in found for i in x), np.uint32, int(lengths[-1].sum())))
+        at[new] = base + np.arange(len(new))
+        lengths, ids = np.concatenate(lengths), np.concatenate(ids)
+        if len(lengths) <= KEPT and len(ids) <= KEPT_IDS:
+            places.update((p, base + i) for i, p in enumerate(missing) if len(p) <= KEPT_LENGTH)
+            self.lengths, self.ids = lengths, ids
+        elif base:
+            self.clear()
+        return at, np.cumsum(lengths) - lengths, lengths, ids
+
+
 def blocks(batches, column: str = "text", most: int = BLOCK_BYTES):
     """Record batches cut and joined so that each holds about `most` bytes of `column`, or one row beyond it."""
     held, size = [], 0

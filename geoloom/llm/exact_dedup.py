@@ -18,7 +18,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Scratch
+from .common import Scratch, lean
 
 #: Bytes of distinct texts that a bucket may hold before it splits.
 BUCKET_BYTES = 64 << 20
@@ -166,7 +166,7 @@ def deduplicate(
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     local = scratch.write(
         rows.mapInArrow(
-            _collapse(hasher),
+            lean(_collapse(hasher)),
             "part int, class long, key long, bytes long, text binary, n long, last long, docs array<long>",
         ),
         "classes",
@@ -186,14 +186,13 @@ def deduplicate(
     owned = placed.repartition("bucket").sortWithinPartitions("bucket", "key", "part", "class")
     index = scratch.write(
         owned.select("part", "class", "key", "text", "n", "last").mapInArrow(
-            _own,
+            lean(_own),
             "part int, class long, key long, chain int, keep_id long, group_size long, owner boolean, text_sha256 string",
         ),
         "index",
     )
     found = local.select("part", "class", "docs").join(index, ["part", "class"])
-    each = found.select("keep_id", "group_size", "owner", "text_sha256", "docs", F.posexplode("docs").alias("at", "doc_id"))
-    first = F.when(F.col("keep_id").isNull(), F.col("at") == 0).otherwise(
-        F.array_position("docs", F.col("keep_id")) == F.col("at") + 1
-    )
-    return each.select("doc_id", "keep_id", "group_size", (F.col("owner") & first).alias("kept"), "text_sha256")
+    # the place of the row that stays is settled before the copies are dealt out, each of which then costs the same
+    place = F.when(~F.col("owner"), 0).otherwise(F.when(F.col("keep_id").isNull(), 1).otherwise(F.array_position("docs", F.col("keep_id"))))
+    each = found.withColumn("place", place).select("keep_id", "group_size", "text_sha256", "place", F.posexplode("docs").alias("at", "doc_id"))
+    return each.select("doc_id", "keep_id", "group_size", (F.col("place") == F.col("at") + 1).alias("kept"), "text_sha256")

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Scratch
+from .common import Scratch, lean
 
 #: Vectors in a tree, in a leaf page, children of a node, queries in a block, coarse pivots.
 TREE, PAGE, FAN, BLOCK, PIVOTS = 16384, 128, 16, 2048, 64
@@ -189,10 +189,10 @@ def top_k(
         if n:
             yield from made(pa.Table.from_batches(held))
 
-    celled = rows.mapInArrow(cells, "id long, v array<long>, q boolean, n2 double, d int, cell int")
+    celled = rows.mapInArrow(lean(cells), "id long, v array<long>, q boolean, n2 double, d int, cell int")
     shares = max(1, -(-total // TREE))
     spread = celled.repartitionByRange(shares, "d", "cell", "id").sortWithinPartitions("d", "cell", "id")
-    forest = scratch.write(spread.mapInArrow(trees, "d int, tree binary, asks binary"), "forest")
+    forest = scratch.write(spread.mapInArrow(lean(trees), "d int, tree binary, asks binary"), "forest")
 
     def packed(batches):
         held: dict[int, list] = {}
@@ -213,7 +213,7 @@ def top_k(
             yield out(d)
 
     asks = forest.select("d", "asks").coalesce(max(1, shares // 8))
-    blocks = scratch.write(asks.mapInArrow(packed, "qd int, block binary"), "blocks")
+    blocks = scratch.write(asks.mapInArrow(lean(packed), "qd int, block binary"), "blocks")
 
     def search(batches):
         tree, blob = None, None
@@ -229,7 +229,7 @@ def top_k(
 
     # the stated query set, in blocks, against all rows, in trees
     pairs = forest.select("d", "tree").repartition(shares).crossJoin(blocks).where("d = qd").select("tree", "block")
-    found = pairs.mapInArrow(search, "query_id long, vec_id long, score long")
+    found = pairs.mapInArrow(lean(search), "query_id long, vec_id long, score long")
     ranked = found.selectExpr(
         "*", "row_number() over (partition by query_id order by score desc, vec_id) as rank"
     ).where(F.col("rank") <= k)

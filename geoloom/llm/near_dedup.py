@@ -20,7 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Scratch, blocks
+from .common import Scratch, blocks, lean
 from .components import components
 from .shingles import mixed, shingle_sets
 
@@ -254,7 +254,7 @@ def near_duplicates(
     spark = docs.sparkSession
     scratch = Scratch(spark, "near")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    sketched = rows.mapInArrow(_sketched(k), "doc_id long, n long, key binary, registers binary")
+    sketched = rows.mapInArrow(lean(_sketched(k)), "doc_id long, n long, key binary, registers binary")
     sketched = sketched.groupBy("doc_id").agg(F.min(F.struct("n", "key", "registers")).alias("s")).select("doc_id", "s.*")
     sketched = scratch.write(sketched, "sketches")
     classes = sketched.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("id"))
@@ -279,7 +279,7 @@ def near_duplicates(
     pairs = scratch.write(stars.select(*ordered(F.col("id"), F.col("leader"))).distinct(), "pairs1")
     x = own.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("registers").alias("x"))
     y = own.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("registers").alias("y"))
-    guessed = scratch.write(pairs.join(x, "a").join(y, "b").mapInArrow(_estimated, "a long, b long, likely double"), "estimated")
+    guessed = scratch.write(pairs.join(x, "a").join(y, "b").mapInArrow(lean(_estimated), "a long, b long, likely double"), "estimated")
     likely, unlikely = (guessed.where(F.col("likely") >= percent / 100 - margin), guessed.where(F.col("likely") < percent / 100 - margin))
     compared = _verified(scratch, rows, likely.select("a", "b"), k, "1")
     links = compared.where(100 * F.col("both") >= percent * F.col("either")).select("a", "b")
@@ -304,15 +304,15 @@ def near_duplicates(
         dealt = rest.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi")
         least, far = percent / 100 - margin, percent / 100
         if nearest:
-            more = dealt.mapInArrow(_nearest(least, far, nearest), "a long, b long").distinct()
+            more = dealt.mapInArrow(lean(_nearest(least, far, nearest)), "a long, b long").distinct()
             more = scratch.write(more.join(pairs, ["a", "b"], "left_anti"), f"pairs{step}")
             compared = _verified(scratch, rows, more, k, step)
             links = links.union(compared.where(100 * F.col("both") >= percent * F.col("either")).select("a", "b"))
         else:
-            some = scratch.write(dealt.mapInArrow(_involved(least, far), dealt.schema), "involved")
+            some = scratch.write(dealt.mapInArrow(lean(_involved(least, far)), dealt.schema), "involved")
             sets = _set_table(scratch, rows, some.select(F.col("id").alias("doc_id")).distinct(), k, step)
             dealt = some.join(sets, "id").repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi")
-            links = links.union(scratch.write(dealt.mapInArrow(_joined(least, far, percent), "a long, b long"), f"links{step}"))
+            links = links.union(scratch.write(dealt.mapInArrow(lean(_joined(least, far, percent)), "a long, b long"), f"links{step}"))
         found = scratch.write(components(links, scratch, f"joined{step}"), f"components{step}")
     members = classes.join(found, "id", "left").select("key", F.coalesce("component", "id").alias("component"))
     members = scratch.write(members, "members")
@@ -325,7 +325,7 @@ def _set_table(scratch, rows, ids, k, name) -> DataFrame:
     """(id, shingles) of the ids (doc_id)."""
     ids = scratch.write(ids, f"ids{name}")
     side = F.broadcast(ids) if ids.count() <= BROADCAST else ids
-    sets = rows.join(side, "doc_id").mapInArrow(_sets(k), "id long, shingles array<long>")
+    sets = rows.join(side, "doc_id").mapInArrow(lean(_sets(k)), "id long, shingles array<long>")
     # of rows that repeat an id the smallest set counts
     least = F.min(F.struct(F.size("shingles").alias("n"), "shingles"))
     return scratch.write(sets.groupBy("id").agg(least.alias("s")).select("id", "s.shingles"), f"sets{name}")
@@ -336,4 +336,4 @@ def _verified(scratch, rows, pairs, k, name) -> DataFrame:
     sets = _set_table(scratch, rows, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), k, name)
     x, y = (sets.select(F.col("id").alias(i), F.col("shingles").alias(s)) for i, s in (("a", "x"), ("b", "y")))
     both = pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
-    return scratch.write(both.mapInArrow(_compared, "a long, b long, both long, either long"), f"compared{name}")
+    return scratch.write(both.mapInArrow(lean(_compared), "a long, b long, both long, either long"), f"compared{name}")

@@ -16,12 +16,12 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Scratch, blocks, raw, spread, words
+from .common import Kept, Scratch, blocks, lean, spread, words
 
 #: Pieces in a share; rounds of exchange.
 SHARE, ROUNDS = 32768, 6
-#: Distinct words kept between batches, their bytes at most, and words encoded at a time.
-KEPT, KEPT_BYTES, SLICE = 400_000, 40, 8192
+#: Words encoded at a time.
+SLICE = 4096
 
 
 class Encoder:
@@ -31,27 +31,18 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path)
-        self.kept: dict[bytes, np.ndarray] = {}
+        self.model, self.kept = Tokenizer.from_file(path), Kept()
+
+    def _ids(self, said: list[bytes]) -> list[list[int]]:
+        return [e.ids for e in self.model.encode_batch_fast([w.decode() for w in said], add_special_tokens=False)]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Offsets of each text's ids, and the ids."""
         ends, index, distinct = words(texts)
-        said, kept = distinct.to_pylist(), self.kept
-        own = [kept.get(w) for w in said]
-        missing = [i for i, x in enumerate(own) if x is None]
-        for k in range(0, len(missing), SLICE):
-            some = missing[k : k + SLICE]
-            found = self.model.encode_batch_fast([said[i].decode() for i in some], add_special_tokens=False)
-            for i, e in zip(some, found):
-                own[i] = np.array(e.ids, np.uint32)
-                if len(kept) < KEPT and len(said[i]) <= KEPT_BYTES:
-                    kept[said[i]] = own[i]
-        lengths = np.fromiter(map(len, own), np.int64, len(own))
-        flat = np.concatenate(own) if own else np.zeros(0, np.uint32)
-        starts, sizes = np.cumsum(lengths) - lengths, lengths[index]
-        sums = np.concatenate(([0], np.cumsum(sizes)))
-        return sums[ends], flat[spread(starts[index], sizes)]
+        at, starts, lengths, flat = self.kept.look_up(distinct.to_pylist(), self._ids, SLICE)
+        place = at[index]
+        sizes = lengths[place]
+        return np.concatenate(([0], np.cumsum(sizes)))[ends], flat[spread(starts[place], sizes)]
 
 
 @lru_cache(2)
@@ -68,7 +59,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = 2048, id_col: str =
 
     def run(batches):
         own, made = encoder(vocabulary), TaskContext.get().partitionId() << 40
-        for batch in blocks(batches, most=4 << 20):
+        for batch in blocks(batches, most=2 << 20):
             ends, ids = own.encode(batch.column("text"))
             n = len(ends) - 1
             whole = np.insert(ids, ends[1:], np.uint32(end)).astype("<u4")
@@ -93,9 +84,10 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = 2048, id_col: str =
                     ["item", "doc_id", "piece", "start", "length", "ids"],
                 )
                 made += m
+        own.kept.clear()
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "item long, doc_id long, piece int, start long, length long, ids binary")
+    return rows.mapInArrow(lean(run), "item long, doc_id long, piece int, start long, length long, ids binary")
 
 
 def lower_bound(lengths: np.ndarray, capacity: int) -> int:
@@ -183,7 +175,7 @@ def pack(items: DataFrame, capacity: int, scratch: Scratch) -> DataFrame:
         dealt = live.repartition(shares, F.xxhash64("item", F.lit(number)))
         rows = scratch.write(
             dealt.mapInArrow(
-                _packed(capacity, number, last),
+                lean(_packed(capacity, number, last)),
                 "item long, length long, sequence_id long, offset long, stays boolean, certified boolean",
             ),
             f"round{number}",

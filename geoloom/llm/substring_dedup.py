@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import Scratch, blocks, words
+from .common import Scratch, blocks, lean, words
 from .shingles import runs, word_hashes
 
 #: Words of an anchor; contexts that a tree holds; rows that may be broadcast.
@@ -235,7 +235,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", tex
     docs = docs.drop("n_words", "n_removed", "kept_text")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     sketched = rows.mapInArrow(
-        _sketched(width), "doc_id long, n_words long, key binary, prefixes array<long>, places array<int>"
+        lean(_sketched(width)), "doc_id long, n_words long, key binary, prefixes array<long>, places array<int>"
     )
     sketched = scratch.write(sketched.where(F.col("n_words") >= width), "sketches")
     # of rows that repeat an id one is judged; of equal texts the smallest id stands for all
@@ -252,7 +252,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", tex
     mine = scratch.write(mine, "shared")
     texts = rows.join(_sized(mine, "shared"), "doc_id")
     found = scratch.write(
-        texts.mapInArrow(_contexts(width), "prefix long, context binary, doc long, lo int, n int, words binary"), "contexts"
+        texts.mapInArrow(lean(_contexts(width)), "prefix long, context binary, doc long, lo int, n int, words binary"), "contexts"
     )
     each = found.groupBy("prefix", "context", "n").agg(F.min("doc").alias("doc"), F.first("words").alias("words"))
     each = scratch.write(each, "distinct")
@@ -261,11 +261,11 @@ def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", tex
     alone = sized.where("contexts = 1").selectExpr("context", "array_repeat(doc, n) as first")
     trees = (
         sized.where(f"contexts between 2 and {GROUP}").select("prefix", "context", "doc", "n", "words")
-        .repartition("prefix").sortWithinPartitions("prefix").mapInArrow(_trees(width), "context binary, first array<long>")
+        .repartition("prefix").sortWithinPartitions("prefix").mapInArrow(lean(_trees(width)), "context binary, first array<long>")
     )
     large = sized.where(f"contexts > {GROUP}")
     windows = scratch.write(
-        large.select("context", "n", "words").mapInArrow(_windows(width), "context binary, j int, window binary")
+        large.select("context", "n", "words").mapInArrow(lean(_windows(width)), "context binary, j int, window binary")
         .join(large.select("context", "doc"), "context"), "windows",
     )
     lowest = windows.groupBy("window").agg(F.min("doc").alias("low"))
@@ -274,7 +274,7 @@ def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", tex
     gone = found.select("context", "doc", "lo").join(first, "context")
     gone = gone.select("doc", "lo", F.transform("first", lambda m: m < F.col("doc")).alias("gone")).where("exists(gone, x -> x)")
     cuts = gone.groupBy("doc").agg(F.collect_list(F.struct("lo", "gone")).alias("cuts"))
-    cuts = cuts.select(F.col("doc").alias("doc_id"), "cuts").mapInArrow(_merged(width), "doc_id long, from array<int>, to array<int>")
+    cuts = cuts.select(F.col("doc").alias("doc_id"), "cuts").mapInArrow(lean(_merged(width)), "doc_id long, from array<int>, to array<int>")
     runs_ = F.lit(None).cast("array<int>")
     marks = status.where("whole").select("doc_id", "key", F.lit(True).alias("whole"), runs_.alias("from"), runs_.alias("to"))
     marks = marks.union(cuts.join(status.select("doc_id", "key"), "doc_id").select("doc_id", "key", F.lit(False), "from", "to"))
@@ -283,4 +283,4 @@ def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", tex
     joined = docs.join(_sized(marks, "__from"), F.col(id_col).cast("long") == F.col("__doc_id"), "left")
     joined = joined.select(*[docs[n] for n in names], F.coalesce("__whole", F.lit(False)).alias("__whole"), "__from", "__to", "__key")
     fields = [*docs.schema.fields, T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())]
-    return joined.mapInArrow(_cut(text_col, names), T.StructType(fields))
+    return joined.mapInArrow(lean(_cut(text_col, names)), T.StructType(fields))

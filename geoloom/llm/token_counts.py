@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from .byte_bpe import byte_chars
-from .common import blocks, raw, spread, words
+from .common import blocks, lean, raw, spread, words
 
 #: Words beyond these bytes are walked one by one.
 LONG = 64
@@ -143,4 +143,4 @@ def count_tokens(docs: DataFrame, vocabulary: str, text_col: str = "text") -> Da
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*names, "n_words", "n_tokens"])
 
     more = [T.StructField(n, T.LongType()) for n in ("n_words", "n_tokens")]
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *more]))
+    return docs.mapInArrow(lean(run), T.StructType([*docs.schema.fields, *more]))

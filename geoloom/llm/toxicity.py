@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import blocks, spread, words
+from .common import blocks, lean, spread, words
 
 MARKS = "".join(map(chr, [*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)])) + "¡¿«»“”‘’…–—"
 #: Lengths in characters of the word beginnings that are features beside whole words.
@@ -46,7 +46,7 @@ class Model:
         for w in distinct.to_pylist():
             if (got := cache.get(w)) is None:
                 got = [known[f] for f in features(w) if f in known]
-                if len(w) <= 24 and len(cache) < 500_000:
+                if len(w) <= 24 and len(cache) < 150_000:
                     cache[w] = got
             own.append(got)
         counts = np.fromiter(map(len, own), np.int64, len(own))
@@ -142,7 +142,7 @@ def sampled(docs: DataFrame, most: int) -> list[np.ndarray]:
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int64()))], ["features"])
 
     some = docs.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).repartition(16)
-    return [np.array(x, np.int64) for x in some.mapInArrow(run, "features array<long>").toArrow()["features"].to_pylist()]
+    return [np.array(x, np.int64) for x in some.mapInArrow(lean(run), "features array<long>").toArrow()["features"].to_pylist()]
 
 
 def train(
@@ -181,4 +181,4 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", to: str = "scor
             found = model.score(batch.column(at), cache)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.float64())], [*names, to])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(to, T.DoubleType())]))
+    return docs.mapInArrow(lean(run), T.StructType([*docs.schema.fields, T.StructField(to, T.DoubleType())]))
