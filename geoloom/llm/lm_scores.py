@@ -1,14 +1,16 @@
 """Stupid-backoff scores, computed relationally over the whole corpus.
 
-Words and pairs of words are exploded and counted into tables that are partitioned by hash. By default every word and
-every pair has its own count. Each pair of a text then has an entry, so a text's score is a sum of logarithms of counts:
-those of its pairs, less those of their first words, and one backed-off first word. Words and pairs that occur COMMON
-times or more are counted into tables and joined, by broadcast while a table is small and by shuffle beyond; the others
-are counted where their few occurrences meet in a shuffle, so no table of them is made.
-
-With a cutoff above 1, counts below it are pruned from the model: rare words count as one unknown word, and a pair
-without an entry backs off to its second word. A pair can only reach a count if both of its words do, so only such
-pairs are counted.
+The n-grams of all orders are counted into tables partitioned by their hash, and joined with the n-grams of the texts:
+
+1. `blocks`: texts become rows of word hashes, some 4 MB of text a row, written once and read by the steps below.
+2. Each block asks for its distinct n-grams, with the number of times it has them: one row for each share of the hash
+   range, so a hot n-gram is one entry a block, however often it occurs.
+3. The owner of a share adds up the counts of equal n-grams (those rows are the share's count table), and answers every
+   block that asked. No n-gram is pruned, and no table is broadcast.
+4. A block joins its answers, which give each word's score, and the scores are summed by document.
+
+N-grams are told apart by 64-bit hashes: of n distinct ones, n ** 2 / 2 ** 65 pairs share a hash (1e-4 pairs for the 6e7
+n-grams of half a gigabyte), and only their own counts are off then.
 """
 
 from __future__ import annotations
@@ -16,125 +18,267 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, functions as F
 
-from .common import Scratch
+from .common import Scratch, blocks, lean
+from .shingles import STEP, mixed, word_hashes
 
-#: Table rows that may be broadcast: words one by one, pairs in slots of about SLOT pairs.
-BROADCAST, SLOT = 4_000_000, 32
-CUTOFF, BACKOFF = 1, 0.4
-#: Without a cutoff, the count from which words and pairs are in tables; rarer ones are counted where they meet.
-COMMON = 5
+#: Words of the longest n-grams, and what each step to a shorter one costs.
+ORDER, BACKOFF = 3, 0.4
+#: Bytes of text in a block, and n-grams asked for in a share, about.
+BLOCK, SHARE = 4 << 20, 1 << 21
 
 
 @dataclass
 class Model:
-    """Counts, as logarithms: words (w, n), pairs (pair hash, m), all words below the cutoff together, all words."""
-
-    words: DataFrame
-    pairs: DataFrame
-    unknown: float
-    total: float
-    backoff: float
-
-
-def _words(text: Column) -> Column:
-    parts = F.split(F.coalesce(text, F.lit("")), "[\\x20\\x09-\\x0D]+")
-    return F.transform(F.filter(parts, lambda w: w != ""), lambda w: F.xxhash64(w))
-
-
-def _sized(table: DataFrame) -> DataFrame:
-    return F.broadcast(table) if table.count() <= BROADCAST else table
-
-
-def _with_pairs(tokens: DataFrame, pairs: DataFrame) -> DataFrame:
-    """tokens (pair, ...) with m of their pair, null if it has none. A small table is broadcast, a row for each slot of
-    hashes, which takes a fifth of the memory of a row for each pair."""
-    n = pairs.count()
-    if n > BROADCAST:
-        return tokens.join(pairs, "pair", "left")
-    slot = F.pmod(F.col("pair"), F.lit(n // SLOT + 1))
-    slots = pairs.groupBy(slot.alias("slot")).agg(F.collect_list(F.struct("pair", "m")).alias("s"))
-    slots = slots.select("slot", F.col("s.pair").alias("own"), F.col("s.m").alias("ms"))
-    found = tokens.withColumn("slot", slot).join(F.broadcast(slots), "slot", "left")
-    m = F.get("ms", F.array_position("own", F.col("pair")).cast("int") - 1)
-    return found.withColumn("m", m).drop("slot", "own", "ms")
-
-
-def _pairs(docs: DataFrame, text_col: str, *more: str) -> DataFrame:
-    """A row for each word: its hash w, the next word's hash v (null at a text's end), and the columns named."""
-    hashes = docs.select(*more, _words(F.col(text_col)).alias("ws"))
-    both = F.arrays_zip(F.col("ws").alias("w"), F.slice("ws", 2, F.greatest(F.size("ws"), F.lit(1))).alias("v"))
-    return hashes.select(*more, F.explode(both).alias("x")).select(*more, F.col("x.w").alias("w"), F.col("x.v").alias("v"))
-
-
-def fit(docs: DataFrame, scratch: Scratch, text_col: str = "text", cutoff: int = CUTOFF, backoff: float = BACKOFF) -> Model:
-    words = docs.select(F.explode(_words(F.col(text_col))).alias("w"))
-    counts = scratch.write(words.groupBy("w").agg(F.count("*").alias("n")), "counts")
-    total, known = counts.agg(F.sum("n"), F.sum(F.when(F.col("n") >= cutoff, F.col("n")))).first()
-    total, known = total or 0, known or 0
-    frequent = counts.where(F.col("n") >= cutoff)
-    side = _sized(frequent.select("w"))
-    pairs = _pairs(docs, text_col).where("v is not null").join(side, "w").join(side.withColumnRenamed("w", "v"), "v")
-    pairs = pairs.groupBy(F.xxhash64("w", "v").alias("pair")).agg(F.count("*").alias("m")).where(F.col("m") >= cutoff)
-    return Model(
-        scratch.write(frequent.select("w", F.ln("n").alias("n")), "words"),
-        scratch.write(pairs.select("pair", F.ln("m").alias("m")), "pairs"),
-        math.log(max(total - known, 1)), math.log(max(total, 1)), backoff,
-    )
+    """Count tables: table (share, hashes, counts), shares cut by the hashes' top `bits`, and the words counted."""
 
+    table: DataFrame
+    bits: int
+    total: int
+    order: int
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens and log_score (sum of ln scores) of each id. A text's first word has no word before it and
-    scores as a backed-off word does. A null or blank text has 0 of both."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    each = _pairs(rows, "text", "doc_id")
-    firsts = rows.select("doc_id", F.get(_words(F.col("text")), F.lit(0)).alias("v"), F.lit(None).cast("long").alias("w")).where("v is not null")
-    tokens = each.where("v is not null").select("doc_id", "v", "w").union(firsts)
-    keyed = tokens.select("doc_id", "v", "w", F.when(F.col("w").isNotNull(), F.xxhash64("w", "v")).alias("pair"))
-    words = _sized(model.words)
-    found = _with_pairs(keyed, model.pairs).join(words, "w", "left")
-    found = found.join(words.select(F.col("w").alias("v"), F.col("n").alias("one")), "v", "left")
-    backed_off = F.coalesce("one", F.lit(model.unknown)) + F.lit(math.log(model.backoff) - model.total)
-    sums = found.groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.sum(F.coalesce(F.col("m") - F.col("n"), backed_off)).alias("log_score"))
-    blank = rows.where(F.size(_words(F.col("text"))) == 0).select("doc_id", F.lit(0).cast("long").alias("n_tokens"), F.lit(0.0).alias("log_score"))
-    return sums.union(blank).groupBy("doc_id").agg(F.sum("n_tokens").alias("n_tokens"), F.sum("log_score").alias("log_score"))
-
-
-def _whole(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, backoff: float) -> DataFrame:
-    """doc_id, n_tokens and log_score of each id under the model of docs themselves, without a cutoff.
-
-    A word that is not its text's last is divided by once, a text's first word counts once: c is the sum of the two."""
-    model = fit(docs, scratch, text_col, COMMON, backoff)
-    rows = docs.select(F.col(id_col).alias("doc_id"), _words(F.col(text_col)).alias("ws"))
-    at = rows.select("doc_id", "ws", F.posexplode("ws").alias("i", "w"))
-    at = at.select("doc_id", "w", F.get("ws", F.col("i") + 1).alias("v"), (F.col("i") == 0).cast("int").alias("first"))
-    last = F.col("v").isNull()
-    tokens = at.select(
-        "doc_id", "w", F.when(~last, F.xxhash64("w", "v")).alias("pair"), "first", (F.col("first") - (~last).cast("int")).alias("c")
-    )
-    found = _with_pairs(tokens, model.pairs).join(_sized(model.words), "w", "left")
-    start = F.col("first") * F.lit(math.log(backoff) - model.total)
-    known = found.groupBy("doc_id").agg(
-        F.count("*").alias("n_tokens"), F.sum(F.coalesce("m", F.lit(0.0)) + F.col("c") * F.coalesce("n", F.lit(0.0)) + start).alias("log_score")
-    )
-    of_pair = F.when(F.col("pair").isNotNull() & F.col("m").isNull(), F.struct(F.col("pair").alias("key"), F.lit(1).alias("c")))
-    of_word = F.when(F.col("n").isNull(), F.struct(F.col("w").alias("key"), "c"))
-    rare = found.where("n is null or pair is not null and m is null").select("doc_id", F.explode(F.array_compact(F.array(of_pair, of_word))).alias("x"))
-    rare = rare.select("doc_id", "x.key", "x.c").withColumn("n", F.count("*").over(Window.partitionBy("key")))
-    rare = rare.groupBy("doc_id").agg(F.lit(0).cast("long").alias("n_tokens"), F.sum(F.col("c") * F.ln("n")).alias("log_score"))
-    blank = rows.where(F.size("ws") == 0).select("doc_id", F.lit(0).cast("long").alias("n_tokens"), F.lit(0.0).alias("log_score"))
-    return known.union(rare).union(blank).groupBy("doc_id").agg(F.sum("n_tokens").alias("n_tokens"), F.sum("log_score").alias("log_score"))
-
-
-def stupid_backoff(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cutoff: int = CUTOFF, backoff: float = BACKOFF) -> DataFrame:
-    """doc_id, n_tokens, log_score of every document under the model of all documents.
-
-    Words are `[^\\x20\\x09-\\x0D]+`. A word's score after another is the pair's count divided by that of the first
-    word, if the pair's count reaches cutoff; else backoff times the word's share of all words; words below a cutoff
-    above 1 share the count of all of them together. Rows that repeat an id, or have none, are one document whose scores add
-    up; pairs never cross rows. Other columns are ignored. An empty table gives an empty result."""
+
+def packed(values: np.ndarray) -> bytes:
+    """Unsigned numbers, plane by plane of their bytes, as many as the largest needs."""
+    width = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
+    return bytes([width]) + np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    width = data[0]
+    planes = np.frombuffer(data, np.uint8, offset=1).reshape(width, -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, :width] = planes.T
+    return out.view("<u8").ravel()
+
+
+def _ascending(data: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(data), dtype=np.uint64)
+
+
+def _deltas(hashes: np.ndarray) -> bytes:
+    return packed(np.concatenate((hashes[:1], np.diff(hashes))))
+
+
+def _blocks(batches):
+    made = TaskContext.get().partitionId() << 32
+    for batch in blocks(batches, most=BLOCK):
+        ends, hashes = word_hashes(batch.column("text"), lower=False)
+        kinds, codes = np.unique(hashes, return_inverse=True)
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([made]), pa.array([len(hashes)]), pa.array([batch.column("doc_id").to_pylist()], pa.list_(pa.int64())),
+                *(pa.array([x], pa.binary()) for x in (packed(np.diff(ends)), packed(codes), _deltas(kinds))),
+            ],
+            ["block", "n", "docs", "sizes", "codes", "kinds"],
+        )
+        made += 1
+
+
+def _read(batch, i) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets of the texts' words in the i-th block of the batch, and the words' hashes."""
+    sizes, codes, kinds = (batch.column(c)[i].as_py() for c in ("sizes", "codes", "kinds"))
+    ends = np.concatenate(([0], np.cumsum(unpacked(sizes).astype(np.int64))))
+    return ends, _ascending(kinds)[unpacked(codes).astype(np.int64)] if ends[-1] else np.zeros(0, np.uint64)
+
+
+def _grams(ends: np.ndarray, hashes: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the n-grams that start at each word, a row for each order, and which of them their text has."""
+    n = len(hashes)
+    out, there = np.zeros((order, n), np.uint64), np.zeros((order, n), bool)
+    left = np.repeat(ends[1:], np.diff(ends)) - np.arange(n)
+    run = hashes.copy()
+    for k in range(order):
+        if k:
+            run = run[: max(0, n - k)] * STEP + hashes[k:]
+        out[k, : len(run)] = mixed(run + np.uint64(k * 0x51_7C_C1_B7_27_22_0A_95 % (1 << 64)))
+        there[k] = left > k
+    return out, there
+
+
+def _asks(order, bits):
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                grams, there = _grams(*_read(batch, i), order)
+                if not there.size:
+                    continue
+                hashes, counts = np.unique(grams[there], return_counts=True)
+                share = (hashes >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
+                cuts = np.concatenate(([0], np.flatnonzero(np.diff(share)) + 1, [len(share)]))
+                parts = list(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
+                for k in range(0, len(parts), 256):
+                    some = parts[k : k + 256]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(share[[a for a, _ in some]]), pa.array([batch.column("block")[i].as_py()] * len(some), pa.int64()),
+                            pa.array([_deltas(hashes[a:b]) for a, b in some], pa.binary()),
+                            pa.array([packed(counts[a:b]) for a, b in some], pa.binary()),
+                        ],
+                        ["share", "block", "hashes", "counts"],
+                    )
+
+    return run
+
+
+def _shares(work):
+    """Applies work to the rows (block, hashes, counts) of each share, which come one after the other."""
+
+    def run(batches):
+        held, own = [], None
+        for batch in batches:
+            for share, *row in zip(*(batch.column(c).to_pylist() for c in ("share", "block", "hashes", "counts")), strict=True):
+                if held and share != own:
+                    yield from work(own, held)
+                    held = []
+                own = share
+                held.append((row[0], _ascending(row[1]), unpacked(row[2])))
+        if held:
+            yield from work(own, held)
+
+    return run
+
+
+def _summed(rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct n-grams of a share's rows, the count of each, and which of them each row's n-grams are."""
+    every, own = np.concatenate([h for _, h, _ in rows]), np.concatenate([c for *_, c in rows]).astype(np.int64)
+    order = np.argsort(every, kind="stable")
+    at = every[order]
+    new = np.concatenate(([True], at[1:] != at[:-1]))
+    place = np.empty(len(every), np.int32)
+    place[order] = np.cumsum(new) - 1
+    return at[new], np.add.reduceat(own[order], np.flatnonzero(new)), place
+
+
+def _answers(share, blocks_, found, sizes):
+    ends = np.cumsum([0, *sizes])
+    for k in range(0, len(blocks_), 256):
+        some = range(k, min(len(blocks_), k + 256))
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array([blocks_[i] for i in some], pa.int64()), pa.array([share] * len(some), pa.int64()),
+                pa.array([packed(found[ends[i] : ends[i + 1]]) for i in some], pa.binary()),
+            ],
+            ["block", "share", "totals"],
+        )
+
+
+def _own(share, rows):
+    """The owner's answers where the blocks that ask are the corpus itself."""
+    _, sums, place = _summed(rows)
+    yield from _answers(share, [b for b, *_ in rows], sums[place], [len(h) for _, h, _ in rows])
+
+
+def _tables(share, rows):
+    """The owner's count table."""
+    hashes, sums, _ = _summed(rows)
+    arrays = [pa.array([share]), pa.array([None], pa.int64()), pa.array([_deltas(hashes)], pa.binary()), pa.array([packed(sums)], pa.binary())]
+    yield pa.RecordBatch.from_arrays(arrays, ["share", "block", "hashes", "counts"])
+
+
+def _looked_up(share, rows):
+    """The owner's answers from the count table, whose row (without a block) comes first; 0 for what it lacks."""
+    table = rows.pop(0)[1:] if rows[0][0] is None else (np.zeros(1, np.uint64), np.zeros(1, np.uint64))
+    for block, hashes, _ in rows:
+        at = np.minimum(np.searchsorted(table[0], hashes), len(table[0]) - 1)
+        yield from _answers(share, [block], np.where(table[0][at] == hashes, table[1][at], 0), [len(hashes)])
+
+
+def _scored(order, backoff, total):
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ends, hashes = _read(batch, i)
+                grams, there = _grams(ends, hashes, order)
+                counts = np.zeros(grams.shape)
+                if there.any():
+                    kinds, place = np.unique(grams[there], return_inverse=True)
+                    told = [unpacked(x["totals"]) for x in sorted(batch.column("answers")[i].as_py(), key=lambda x: x["share"])]
+                    counts[there] = np.concatenate(told)[place]
+                    assert sum(map(len, told)) == len(kinds)
+                value = words_scores(counts, ends, backoff, total)
+                n = np.diff(ends)
+                text = np.repeat(np.arange(len(n)), n)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("docs")[i].values, pa.array(n), pa.array(np.bincount(text, value, len(n)))],
+                    ["doc_id", "n_tokens", "log_score"],
+                )
+
+    return run
+
+
+def words_scores(counts: np.ndarray, ends: np.ndarray, backoff: float, total: int) -> np.ndarray:
+    """The ln score of each word, given the count of the n-gram of each order that starts there (0: not in the model,
+    or not in the text). A word with too few words before it backs off; a word that the model lacks counts as one."""
+    order, n = counts.shape
+    at = np.arange(n) - np.repeat(ends[:-1], np.diff(ends))
+    value = np.log(np.maximum(counts[0], 1)) - math.log(max(total, 1)) + (order - 1) * math.log(backoff)
+    for k in range(1, order):
+        start = np.maximum(np.arange(n) - k, 0)
+        seen = (at >= k) & (counts[k, start] > 0)
+        place = start[seen]
+        value[seen] = np.log(counts[k, place]) - np.log(counts[k - 1, place]) + (order - 1 - k) * math.log(backoff)
+    return value
+
+
+def _written(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    made = rows.mapInArrow(lean(_blocks), "block long, n long, docs array<long>, sizes binary, codes binary, kinds binary")
+    made = scratch.write(made, "blocks")
+    return made, made.agg(F.sum("n")).first()[0] or 0
+
+
+def _owned(rows: DataFrame, work, schema: str) -> DataFrame:
+    """rows (share, block, hashes, counts) dealt to the shares' owners."""
+    return rows.repartition("share").sortWithinPartitions("share", F.col("block").asc_nulls_first()).mapInArrow(lean(_shares(work)), schema)
+
+
+_ROWS, _TOLD = "share long, block long, hashes binary, counts binary", "block long, share long, totals binary"
+
+
+def _bits(total: int, order: int) -> int:
+    return max(0, math.ceil(math.log2(max(1, total * order / SHARE))))
+
+
+def fit(docs: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text") -> Model:
+    """The count tables of all n-grams of up to `order` words in docs. Null and blank texts have none; n-grams never
+    cross rows. The tables are written below the shared folder."""
+    scratch = Scratch(docs.sparkSession, "model")
+    made, total = _written(docs, scratch, id_col, text_col)
+    bits = _bits(total, order)
+    asked = made.mapInArrow(lean(_asks(order, bits)), _ROWS)
+    return Model(scratch.write(_owned(asked, _tables, _ROWS), "table"), bits, total, order)
+
+
+def stupid_backoff(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, backoff: float = BACKOFF, model: Model | None = None
+) -> DataFrame:
+    """doc_id, n_tokens, log_score (sum of ln scores) of every document, under the model of all of docs, or another one.
+
+    Words are `[^\\x20\\x09-\\x0D]+`. A word's score after the order - 1 words before it is the count of them all
+    together divided by the count of those before it; where the model lacks that n-gram, or the text has fewer words
+    before, it is backoff times the score after one word less, and at last the word's share of all words. A word that
+    the model lacks counts as one that occurs once.
+
+    A null or blank text has 0 of both. Texts of any length are taken whole. Rows that repeat an id, or have none, are
+    one document whose scores add up; n-grams never cross rows. Other columns are ignored, whatever their names. An
+    empty table gives an empty result."""
     scratch = Scratch(docs.sparkSession, "backoff")
-    if cutoff <= 1:
-        return _whole(docs, scratch, id_col, text_col, backoff)
-    return score(docs, fit(docs, scratch, text_col, cutoff, backoff), id_col, text_col)
+    made, total = _written(docs, scratch, id_col, text_col)
+    if model:
+        order, total, bits = model.order, model.total, model.bits
+        asked = made.mapInArrow(lean(_asks(order, bits)), _ROWS).unionByName(model.table)
+        told = _owned(asked, _looked_up, _TOLD)
+    else:
+        bits = _bits(total, order)
+        told = _owned(made.mapInArrow(lean(_asks(order, bits)), _ROWS), _own, _TOLD)
+    told = scratch.write(told, "answers")
+    answers = told.groupBy("block").agg(F.collect_list(F.struct("share", "totals")).alias("answers"))
+    each = made.join(answers, "block", "left").mapInArrow(
+        lean(_scored(order, backoff, total)), "doc_id long, n_tokens long, log_score double"
+    )
+    return each.groupBy("doc_id").agg(F.sum("n_tokens").alias("n_tokens"), F.sum("log_score").alias("log_score"))

@@ -119,18 +119,24 @@ OP8_SQL = f"""
 with d as (
   select doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') as ws from documents
 ), t as (
-  select doc_id, unnest(ws) as v, unnest(list_concat([null], ws[:-2])) as w from d
-), one as (select v, count(*) as n from t group by v),
-s as (select sum(n) as total, greatest(sum(n) - coalesce(sum(n) filter (n >= {lm_scores.CUTOFF}), 0), 1) as rare from one),
-two as (select w, v, count(*) as m from t where w is not null group by w, v),
+  select * from (
+    select doc_id, unnest(ws) as w, unnest(list_concat([null], ws[:-2])) as v, unnest(list_concat([null, null], ws[:-3])) as u from d
+  ) where w is not null
+), one as (select w, count(*) as n from t group by w), total as (select count(*) as n from t),
+two as (select v, w, count(*) as n from t where v is not null group by v, w),
+three as (select u, v, w, count(*) as n from t where u is not null group by u, v, w),
 x as (
   select t.doc_id,
-    case when two.m >= {lm_scores.CUTOFF} then ln(two.m / a.n)
-         else ln({lm_scores.BACKOFF}e0 * (case when b.n >= {lm_scores.CUTOFF} then b.n else s.rare end) / s.total) end as score
-  from t cross join s join one b on b.v = t.v left join one a on a.v = t.w left join two on two.w = t.w and two.v = t.v
+    case when t.u is not null then ln(three.n / before.n)
+         when t.v is not null then ln({lm_scores.BACKOFF}e0 * two.n / first.n)
+         else ln({lm_scores.BACKOFF}e0 * {lm_scores.BACKOFF}e0 * one.n / total.n) end as score
+  from t cross join total join one on one.w = t.w left join one first on first.w = t.v
+    left join two on two.v = t.v and two.w = t.w left join two before on before.v = t.u and before.w = t.v
+    left join three on three.u = t.u and three.v = t.v and three.w = t.w
 )
 select d.doc_id, cast(coalesce(g.n, 0) as bigint) as n_tokens, round(coalesce(g.mean, 0), 6) as mean_log_score
-from d left join (select doc_id, count(*) as n, avg(score) as mean from x group by doc_id) g on g.doc_id = d.doc_id
+from (select distinct doc_id from d) d
+left join (select doc_id, count(*) as n, avg(score) as mean from x group by doc_id) g on g.doc_id is not distinct from d.doc_id
 """
 
 

@@ -96,31 +96,51 @@ def test_long_chain(spark):
     assert len(row) == 1 and row[0].n_turns == 300 and list(row[0].loss) == [f"t{i}" for i in range(2, 301, 2)]
 
 
-def test_backoff_by_shuffle_equals_broadcast(spark, monkeypatch):
-    r = random.Random(6)
-    rows = [(i, " ".join(r.choices("abcdefgh", k=r.randrange(60)))) for i in range(40)] + [(50, None), (50, "a b"), (None, "a")]
-    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as w", "2 as pair")
-    read = lambda: sorted(((x.doc_id or -1, x.n_tokens, round(x.log_score, 9)) for x in lm_scores.stupid_backoff(df).collect()))
-    one = read()
-    monkeypatch.setattr(lm_scores, "BROADCAST", -1)
-    assert read() == one and len(one) == 42
-    assert lm_scores.stupid_backoff(df.limit(0)).count() == 0
-
-
-def test_rare_words_and_pairs_have_their_own_counts(spark, monkeypatch):
+def backoff_scores(corpus, texts, order, backoff=0.4):
+    """The ln score of each text under the n-gram counts of the corpus, by plain counting."""
+    counts, total = Counter(), sum(map(len, corpus))
+    for x in corpus:
+        for n in range(1, order + 1):
+            counts.update(tuple(x[i : i + n]) for i in range(len(x) - n + 1))
+    out = []
+    for x in texts:
+        score = 0.0
+        for i in range(len(x)):
+            for n in range(order, 0, -1):
+                gram = tuple(x[i - n + 1 : i + 1]) if i >= n - 1 else None
+                if n == 1:
+                    score += math.log(max(counts[gram], 1) / total)
+                elif gram and counts[gram]:
+                    score += math.log(counts[gram] / counts[gram[:-1]])
+                    break
+                else:
+                    score += math.log(backoff)
+        out.append(score)
+    return out
+
+
+def test_backoff_equals_counting(spark, monkeypatch):
     r = random.Random(9)
-    rows = [(i, " ".join(r.choices("abcdefgh", k=r.randrange(40)) + [f"seen{i % 25}", f"once{i}"] * (i % 3))) for i in range(60)] + [(70, None), (70, "a lone"), (None, "once")]
-    ws = [(i, (t or "").split()) for i, t in rows]
-    one, two = Counter(w for _, x in ws for w in x), Counter(p for _, x in ws for p in zip(x, x[1:]))
-    want = {}
-    for i, x in ws:
-        scores = [math.log(0.4 * one[w] / one.total()) for w in x[:1]] + [math.log(two[p] / one[p[0]]) for p in zip(x, x[1:])]
-        want[i] = want.get(i, 0.0) + sum(scores)
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    for broadcast in (lm_scores.BROADCAST, -1):
-        monkeypatch.setattr(lm_scores, "BROADCAST", broadcast)
-        got = {x.doc_id: x.log_score for x in lm_scores.stupid_backoff(df).collect()}
-        assert got.keys() == want.keys() and all(abs(got[i] - want[i]) < 1e-9 for i in want)
+    rows = [(i, " ".join(r.choices("abcdefgh", k=r.randrange(40)) + [f"seen{i % 25}", f"once{i}"] * (i % 3))) for i in range(60)]
+    rows += [(70, None), (70, "a lone"), (None, "once"), (80, " "), (81, "a b c " * 3000)]
+    ws = [(t or "").split() for _, t in rows]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 as share", "2 as block", "'n' as n")
+    monkeypatch.setattr(lm_scores, "SHARE", 500)  # many shares
+    monkeypatch.setattr(lm_scores, "BLOCK", 300)
+    for order in (1, 2, 3, 4):
+        want = {}
+        for (i, _), x in zip(rows, backoff_scores(ws, ws, order)):
+            want[i] = want.get(i, 0.0) + x
+        got = {x.doc_id: (x.n_tokens, x.log_score) for x in lm_scores.stupid_backoff(df, order=order).collect()}
+        assert got.keys() == want.keys() and all(abs(got[i][1] - want[i]) < 1e-6 for i in want)
+        assert got[80] == (0, 0.0) and got[81][0] == 9000 and got[70][0] == 2
+    # other texts, with words and n-grams that the model lacks
+    model = lm_scores.fit(df)
+    others = [(i, " ".join(r.choices("abcdefghij", k=i % 12) + ["new"] * (i % 2))) for i in range(30)]
+    got = {x.doc_id: x.log_score for x in lm_scores.stupid_backoff(spark.createDataFrame(others, "doc_id long, text string"), model=model).collect()}
+    want = backoff_scores(ws, [t.split() for _, t in others], 3)
+    assert all(abs(got[i] - want[i]) < 1e-6 for i in range(30))
+    assert lm_scores.stupid_backoff(df.limit(0)).count() == 0
 
 
 def test_top_k_equals_brute_force(spark, monkeypatch):
