@@ -149,9 +149,11 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @owning
 def op10_metric_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = load(spark, sf_dir, "embeddings")
-    odd = "exists(embedding, x -> x is null or isnan(x) or abs(x) = double('infinity'))"
-    rows = rows.where(f"embedding is not null and not {odd}").selectExpr(
-        "vec_id", "transform(embedding, x -> cast(floor(256 * cast(x as double)) as bigint)) as vector"
+    odd = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    # floor() of a double is a long; beyond 2 ** 52 doubles are whole anyway
+    whole = lambda x: F.when(F.abs(x) < 2.0**52, F.floor(x).cast("double")).otherwise(x)
+    rows = rows.where(F.col("embedding").isNotNull() & ~odd).select(
+        "vec_id", F.transform("embedding", lambda x: whole(256 * x.cast("double"))).alias("vector")
     )
     return metric_search.top_k(rows, rows.where("vec_id % 50 = 0"))
 

@@ -147,16 +147,17 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
     for name, value in (("TREE", 64), ("PAGE", 8), ("BLOCK", 16)):
         monkeypatch.setattr(metric_search, name, value)
     r = np.random.default_rng(1)
-    v = {i: r.integers(-5, 6, 6).tolist() for i in range(300)}
-    v |= {i: [1, 2, 3, 4, 5, 6] for i in range(300, 340)} | {400: [1, 2], 450: [3, 4], 500: []}
-    rows = [*v.items(), (600, None), (650, [1, None]), (None, [1, 2]), (0, [9] * 6)]
-    v[0] = min(v[0], [9] * 6)
-    df = spark.createDataFrame(rows, "vec_id long, vector array<long>").selectExpr("*", "1 as q", "2 as cell")
+    rows = [(i, r.integers(-5, 6, 6).tolist()) for i in range(300)]
+    rows += [(i, [1, 2, 3, 4, 5, 6]) for i in range(300, 340)] + [(400, [1, 2]), (450, [3, 4]), (500, []), (0, [9] * 6), (7, [8] * 6), (7, [8] * 6)]
+    # products beyond 2 ** 53, and beyond a long
+    rows += [(550, [2**40, 1, 0, 0, 0, 1]), (551, [2**40, 0, 0, 0, 0, 0]), (552, [2**40 + 2**10, 3, 0, 0, 0, 0]), (553, [0, 0, 0, 0, 2**900, 0])]
+    odd = [(600, None), (650, [1.0, None]), (None, [1.0, 2.0]), (655, [1.0, float("nan")]), (660, [float("inf"), 1.0])]
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows] + odd, "vec_id long, vector array<double>").selectExpr("*", "1 as q", "2 as cell")
     got = sorted(tuple(x) for x in metric_search.top_k(df, df.where("vec_id % 50 = 0")).collect())
     expected = []
-    for q in [i for i in v if i % 50 == 0]:
-        scores = sorted(((-sum(a * b for a, b in zip(v[q], w)), i) for i, w in v.items() if i != q and len(w) == len(v[q])))[:5]
-        expected += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scores)]
+    for q in {i for i, _ in rows if i % 50 == 0}:
+        scores = [(max(-metric_search.MOST, -sum(a * b for a, b in zip(v, w))), i) for j, v in rows if j == q for i, w in rows if i != q and len(w) == len(v)]
+        expected += [(q, n + 1, i, -s) for n, (s, i) in enumerate(sorted(scores)[:5])]
     assert got == sorted(expected)
     assert metric_search.top_k(df.limit(0), df.limit(0)).count() == 0
 
@@ -165,7 +166,7 @@ def test_pruned_search_visits_few_pages():
     r = np.random.default_rng(5)
     centres = r.integers(-100, 100, (40, 8))
     vectors = np.concatenate([c + r.integers(-2, 3, (100, 8)) for c in centres])
-    tree = metric_search.Tree(np.arange(len(vectors)), vectors, float((vectors.astype(float) ** 2).sum(axis=1).max()))
+    tree = metric_search.Tree(np.arange(len(vectors)), vectors)
     tree.vectors = tree.vectors.astype(float)
     q = vectors[5].astype(float)
     best = sorted(((float(s), -i) for i, s in enumerate(vectors @ vectors[5]) if i != 5), reverse=True)[:5]
