@@ -1,17 +1,24 @@
-"""Exact nearest neighbours in degrees by a grid that grows, and what is nearest to clicked points."""
+"""Exact nearest neighbours in degrees by cells of many sizes, and what is nearest to clicked points."""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.geometry import degree_distance2, haversine, mercator_x, mercator_y
 from ..plans.tables import settled
 from .areas import boxes, containing, level_extents
 
-#: Targets per cell to begin with, and those in the fullest cell beyond which cells shrink.
-WANTED, FULLEST = 5, 256
+#: Targets in a cell of the finest level on average, were they spread evenly, and those that its fullest cell may hold.
+WANTED, FULLEST = 2, 8
+#: Targets of a cell that are compared one by one; the level up to which cells are few enough to be broadcast (4 ** level).
+LISTED, COARSE, FINEST = 32, 7, 30
+#: Targets that are broadcast whole, with their cells.
+SMALL = 50_000
+#: Pairs of points and targets for each core that are compared without going through quarters: a matter of the plan, not
+#: of the result.
+FEW = 4_000_000
 
 
 def cells(df: DataFrame, size: float) -> DataFrame:
@@ -19,57 +26,120 @@ def cells(df: DataFrame, size: float) -> DataFrame:
     return df.withColumns({"cx": F.floor(F.col("lat") / size).cast("long"), "cy": F.floor(F.col("lon") / size).cast("long")})
 
 
-def _first_size(targets: DataFrame) -> tuple[float, float]:
-    """A cell size for the first round, and one at which nine cells hold everything."""
-    n, a, b, c, d = targets.agg(F.count("*"), F.min("lat"), F.max("lat"), F.min("lon"), F.max("lon")).first()
-    if not n:
-        return 1.0, 1.0
-    extent = max(b - a, d - c, 1e-9)
-    size = max(math.sqrt(max(b - a, 1e-9) * max(d - c, 1e-9) * WANTED / n), extent * 1e-9)
-    for _ in range(8):
-        fullest = cells(targets, size).groupBy("cx", "cy").count().agg(F.max("count")).first()[0]
-        if fullest <= FULLEST:
-            break
-        size /= 4
-    return size, extent
+class Grid:
+    """Square cells over both tables: one at level 0, four times as many at each further level, up to `finest`."""
+
+    def __init__(self, points: DataFrame, targets: DataFrame):
+        sides = [F.min("lat"), F.max("lat"), F.min("lon"), F.max("lon")]
+        n, *own = targets.agg(F.count("*"), *sides).first()
+        reach = points.agg(*sides).first()
+        self.empty = not n or reach[0] is None
+        if self.empty:
+            return
+        a, b, c, d = (f(x, y) for f, x, y in zip((min, max, min, max), own, reach, strict=True))
+        self.lat0, self.lon0 = a, c
+        self.extent = max(b - a, d - c, 1e-9) * (1 + 1e-9)
+        self.pad = 1e-12 * (self.extent + abs(a) + abs(c))  # more than the rounding of cell edges
+        area = max(own[1] - own[0], 1e-9) * max(own[3] - own[2], 1e-9)
+        even = max(0, math.ceil(math.log2(self.extent / math.sqrt(area * WANTED / n))))
+        self.finest, self.small = FINEST, n <= SMALL
+        tried = sorted({min(FINEST, even + k) for k in (0, 2, 4, 6, 8, 12)} | {FINEST})
+        full = self.at_levels(targets, tried).groupBy("level", "cx", "cy").count().groupBy("level").agg(F.max("count").alias("n")).collect()
+        self.finest = min((r.level for r in full if r.n <= FULLEST), default=FINEST)  # places are distinct
+
+    def size(self, level) -> Column:
+        return F.lit(self.extent) / F.pow(F.lit(2.0), level)
+
+    def placed(self, df: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFrame:
+        """df with its cell (cx, cy) of the finest level."""
+        size = self.extent / 2**self.finest
+        at = lambda c, zero: F.floor((F.col(c) - zero) / size).cast("long")
+        return df.withColumns({"cx": at(lat, self.lat0), "cy": at(lon, self.lon0)})
+
+    def at_levels(self, df: DataFrame, levels: list[int], lat: str = "lat", lon: str = "lon") -> DataFrame:
+        """A row of df for each level, with the cell of that level."""
+        each = self.placed(df, lat, lon).withColumn("level", F.explode(F.array(*map(F.lit, levels))))
+        return each.withColumns({c: F.expr(f"shiftright({c}, {self.finest} - level)") for c in ("cx", "cy")})
+
+    def cell_distance2(self) -> Column:
+        """Squared distance that a place in the row's cell has at least."""
+        size = self.size(F.col("level"))
+
+        def away(c, zero, i):
+            low = F.col(i) * size + zero
+            return F.greatest(F.lit(0.0), low - F.col(c) - self.pad, F.col(c) - low - size - self.pad)
+
+        x, y = away("lat", self.lat0, "cx"), away("lon", self.lon0, "cy")
+        return x * x + y * y
+
+
+def _in(asked: DataFrame, cell: DataFrame, small: bool) -> DataFrame:
+    """asked joined to cell on level, cx and cy. A small table of cells is broadcast. Of others the coarse cells are, as
+    they are few and hold many rows; the rest shuffles."""
+    on = ["level", "cx", "cy"]
+    if small:
+        return asked.join(F.broadcast(cell), on)
+    coarse = asked.where(F.col("level") <= COARSE).join(F.broadcast(cell.where(F.col("level") <= COARSE)), on)
+    return coarse.unionByName(asked.where(F.col("level") > COARSE).join(cell.where(F.col("level") > COARSE), on))
+
+
+def _tree(grid: Grid, located: DataFrame) -> DataFrame:
+    """(level, cx, cy, n, rlat, rlon) of every cell that holds targets: their number and the place of one of them."""
+    rows = grid.at_levels(located.withColumnsRenamed({"target_id": "rid", "lat": "rlat", "lon": "rlon"}), list(range(grid.finest + 1)), "rlat", "rlon")
+    one = [F.max_by(c, "rid").alias(c) for c in ("rlat", "rlon")]
+    return settled(rows.groupBy("level", "cx", "cy").agg(F.count("*").alias("n"), *one))
 
 
 def find_nearest(points: DataFrame, targets: DataFrame) -> DataFrame:
     """(point_id, target_id, d2): the nearest target (target_id, lat, lon) of each point (point_id, lat, lon) by squared
     degrees, ties to the smaller id. Without targets there are no rows; null coordinates take no part.
 
-    Each round compares points with the targets of the nine cells around them and accepts what no target outside can
-    beat; the rest goes on with cells four times as large, until the cells hold everything."""
-    located = targets.where("lat is not null and lon is not null").groupBy("lat", "lon").agg(F.min("target_id").alias("target_id"))
-    located = settled(located)
-    size, extent = _first_size(located)
-    live = points.where("lat is not null and lon is not null").select("point_id", "lat", "lon")
-    reach = live.agg(F.min("lat"), F.max("lat"), F.min("lon"), F.max("lon")).first()
-    if reach[0] is None or located.isEmpty():
+    A point's own cells of many sizes give it a first target, whose distance bounds the search. The cells of about that
+    size that the bound reaches are looked through: those with few targets one by one, the others by their quarters,
+    with one target of each as a new bound, until none is left."""
+    valid = "lat is not null and lon is not null and not isnan(lat) and not isnan(lon)"
+    located = settled(targets.where(valid).groupBy("lat", "lon").agg(F.min("target_id").alias("target_id")))
+    # by point from the start, which all that is summed by point can use, also where the points come in one file
+    cores = points.sparkSession.sparkContext.defaultParallelism
+    many = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    live = points.where(valid).select("point_id", "lat", "lon").repartition(many, "point_id")
+    grid = Grid(live, located)
+    if grid.empty:
         return live.limit(0).select("point_id", F.lit(None).cast("long").alias("target_id"), F.lit(None).cast("double").alias("d2"))
-    both = located.agg(F.min("lat"), F.max("lat"), F.min("lon"), F.max("lon")).first()
-    extent = max(max(reach[1], both[1]) - min(reach[0], both[0]), max(reach[3], both[3]) - min(reach[2], both[2]), 1e-9)
-    out = None
-    near = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)))
+    tree = _tree(grid, located)
+    d2 = degree_distance2(F.col("lat"), F.col("lon"), F.col("rlat"), F.col("rlon"))
+    own = ["point_id", "lat", "lon"]
+    first = _in(grid.at_levels(live, list(range(grid.finest + 1))), tree, grid.small).groupBy(*own).agg(F.min(d2).alias("most"))
+    reach = F.sqrt("most") * (1 + 1e-9) + grid.pad
+    level = F.least(F.lit(grid.finest), F.greatest(F.lit(0), F.floor(F.log2(F.lit(grid.extent) / reach)))).cast("int")
+    size = grid.size(F.col("level"))
+    cover = lambda c, zero: F.explode(F.sequence(*(
+        F.greatest(F.lit(0), F.least(F.floor((F.col(c) + by - zero) / size), F.pow(F.lit(2.0), F.col("level")) - 1)).cast("long")
+        for by in (-F.col("reach"), F.col("reach"))
+    )))
+    front = first.select("*", reach.alias("reach"), level.alias("level")).select("*", cover("lat", grid.lat0).alias("cx"))
+    front = front.select("*", cover("lon", grid.lon0).alias("cy")).drop("reach").where(grid.cell_distance2() <= F.col("most"))
+    found = None
     while True:
-        last = size >= extent
-        asked = cells(live, size).select("*", F.explode(near).alias("o"))
-        asked = asked.select("point_id", "lat", "lon", (F.col("cx") + F.col("o.i")).alias("cx"), (F.col("cy") + F.col("o.j")).alias("cy"))
-        there = cells(located, size).select("target_id", F.col("lat").alias("tlat"), F.col("lon").alias("tlon"), "cx", "cy")
-        d2 = degree_distance2(F.col("lat"), F.col("lon"), F.col("tlat"), F.col("tlon"))
-        best = asked.join(there, ["cx", "cy"]).groupBy("point_id", "lat", "lon").agg(F.min(F.struct(d2.alias("d2"), "target_id")).alias("b"))
-        inner = lambda c: F.least(F.col(c) - F.floor(F.col(c) / size) * size, (F.floor(F.col(c) / size) + 1) * size - F.col(c))
-        # one part in 1e9 less, for the rounding of cell edges
-        safe = (F.lit(size) + F.greatest(F.least(inner("lat"), inner("lon")), F.lit(0.0))) * (1 - 1e-9)
-        good = F.lit(True) if last else F.col("b.d2") < safe * safe
-        found = settled(best.where(good).select("point_id", F.col("b.target_id").alias("target_id"), F.col("b.d2").alias("d2")))
-        out = found if out is None else out.union(found)
-        if last:
-            return out
-        live = settled(live.join(found.select("point_id"), "point_id", "left_anti"))
-        if live.isEmpty():
-            return out
-        size *= 4
+        front = settled(_in(front, tree.select("level", "cx", "cy", "n"), grid.small))
+        pairs = {r.level: r for r in front.groupBy("level").agg(F.sum("n").alias("n"), F.max("n").alias("most")).collect()}  # FINEST rows at most
+        few = sum(r.n for r in pairs.values()) <= FEW * cores
+        listed = F.lit(True) if few else (F.col("n") <= LISTED) | (F.col("level") == grid.finest)
+        there = grid.at_levels(located, sorted(pairs) or [0]).withColumnsRenamed({"lat": "rlat", "lon": "rlon"})
+        near = _in(front.where(listed).drop("n"), there, grid.small).withColumn("d2", d2).where("d2 <= most").select("point_id", "target_id", "d2")
+        found = near if found is None else found.unionByName(near)
+        if few or all(r.most <= LISTED or level == grid.finest for level, r in pairs.items()):
+            break
+        deep = front.where(~listed)
+        quarters = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1))))
+        parts = deep.select(*own, "most", (F.col("level") + 1).alias("level"), "cx", "cy", quarters.alias("q"))
+        parts = parts.select(*own, "most", "level", (F.col("cx") * 2 + F.col("q.i")).alias("cx"), (F.col("cy") * 2 + F.col("q.j")).alias("cy"))
+        parts = settled(_in(parts, tree.select("level", "cx", "cy", "rlat", "rlon"), grid.small))
+        least = parts.groupBy(*own).agg(F.min(d2).alias("least"))
+        front = parts.join(least, own).withColumn("most", F.least("most", "least")).where(grid.cell_distance2() <= F.col("most")).select(*own, "most", "level", "cx", "cy")
+    found = settled(found)
+    best = found.groupBy("point_id").agg(F.min("d2").alias("d2"))
+    return found.join(best, ["point_id", "d2"]).groupBy("point_id", "d2").agg(F.min("target_id").alias("target_id")).select("point_id", "target_id", "d2")
 
 
 def nearest_building(points: DataFrame, buildings: DataFrame) -> DataFrame:

@@ -1,24 +1,46 @@
-"""Materialised intermediate tables: checkpoints in the folder that all executors share."""
+"""Materialised intermediate tables, in the folder that all executors share."""
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+_made: dict[str, SparkSession] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, the context's checkpoint folder, or where neither is set a folder in the warehouse, which
+    driver and executors share too."""
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if not path:
+        kept = spark.sparkContext._jsc.sc().getCheckpointDir()
+        path = kept.get() if kept.isDefined() else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+    return path
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder; what is there goes when Python ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(_clear)
+    _made[path] = spark
+    return path
+
+
+def _clear() -> None:
+    for path, spark in _made.items():
+        try:
+            context = spark.sparkContext
+            at = context._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(context._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # the session has ended before
+            return
 
 
 def settled(df: DataFrame) -> DataFrame:
-    """df as it is now, cut off from its lineage. The session's spark.checkpoint.dir is used; a new local folder only
-    where the session names none."""
-    context = df.sparkSession.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
-        path = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(path or tempfile.mkdtemp(prefix="geoloom-"))
-    return df.checkpoint(eager=True)
-
-
-def scratch_path(spark, name: str) -> str:
-    """A new path below the shared folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{base or tempfile.mkdtemp(prefix='geoloom-')}/{name}-{uuid.uuid4().hex}"
+    """df as it is now, written once and cut off from its lineage."""
+    path = scratch_path(df.sparkSession, "settled")
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
