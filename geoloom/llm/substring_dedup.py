@@ -1,12 +1,23 @@
 """Removal of passages that repeat an earlier document, by prefix-partitioned suffix trees.
 
-Suffixes are grouped by a prefix. Which ones share a group is settled by the least-hashed run of PREFIX words (the
-anchor) in each window of `width` words: equal windows have equal anchors, so the suffixes at windows with an anchor in
-common meet in its group, with the words around as context, and anchors in one document only are left out. Equal
-contexts are one, with its smallest document. A group of up to GROUP contexts becomes a tree: its sorted suffixes and
-their common prefixes; the internal nodes at a depth of `width` words are the maximal repeats, and the smallest document
-below such a node is where the passage starts first. Larger groups take longer prefixes: the whole window, whose node
-then is one row of an aggregation.
+The suffixes that are indexed begin at anchors: the least-hashed run of PREFIX words of each window of `width` words. As
+equal windows have equal anchors at the same place, every window is found from its anchor's suffix, and one word in
+twenty or so begins a suffix instead of every one. A suffix comes with its context, the words of all windows that have
+its anchor, so some of them stand to its left.
+
+Suffixes are grouped by their first words, the anchor to begin with; groups of one document are left out, and equal
+contexts are one. Where a group holds more than GROUP contexts, its prefix gets longer: the windows are parted by the
+place of the anchor in them, which lengthens the run of words that all windows of a part have in common, and the suffix
+then begins where that run does. This is repeated until each group fits; the longest prefix is a whole window.
+
+A group becomes a subtree: its suffixes in order with their common prefixes, and the words before them likewise, read
+backwards. A node `r` words deep in the one and a node `l` words deep in the other, r + l >= width, are a repeat; for
+each place of the anchor the nodes at the depths that a window needs give the documents that share it, and the smallest
+of them is where it starts first. Repeats that overlap in a document are joined to runs of maximal length.
+
+The trees compare words. Contexts are told apart by 128-bit hashes. Documents are whole copies if the 64-bit hashes of
+their words are the same in order: a wrong one needs texts that differ in words with equal hashes only, one pair of
+words in 2e19.
 """
 
 from __future__ import annotations
@@ -20,8 +31,9 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from .common import Scratch, blocks, lean, words
 from .shingles import runs, word_hashes
 
-#: Words of an anchor; contexts that a tree holds; rows that may be broadcast.
-PREFIX, GROUP, BROADCAST = 12, 2000, 300_000
+#: Words of an anchor; contexts that a tree holds (some 30 MB); contexts that a task takes at a time; rows that may be broadcast.
+PREFIX, GROUP, HELD, BROADCAST = 12, 20_000, 6000, 300_000
+_FOUND = "core long, context binary, doc long, lo int, n int, p int, a int, b int, words binary"
 
 
 def anchors(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -65,6 +77,20 @@ def _sketched(width):
     return run
 
 
+def _rows(out: list[tuple]):
+    """Rows of contexts. core: the hash of the suffix's prefix; context: its words and windows, as a hash; doc, lo: where
+    its first window begins; n: its windows; p: the anchor's place in it; a, b: the places of the anchor in its windows
+    that its group holds, so the prefix runs from word p - a to p - b + width."""
+    kinds = [pa.int64(), pa.binary(), pa.int64(), *[pa.int32()] * 5, pa.binary()]
+    for k in range(0, len(out), 4000):
+        columns = zip(*out[k : k + 4000], strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)], _FOUND.replace(",", "").split()[::2])
+
+
+def _row(core: int, doc, lo, n, p, a, b, words: bytes) -> tuple:
+    return (core - (1 << 63), xxhash.xxh3_128_digest(b"%d %d %d %d " % (a, b, p, n) + words), doc, lo, n, p, a, b, words)
+
+
 def _contexts(width):
     """Contexts of a document's shared anchors: the words of all windows that have the anchor as theirs."""
 
@@ -72,96 +98,123 @@ def _contexts(width):
         for batch in blocks(batches, most=1 << 20):
             ends, hashes = word_hashes(batch.column("text"), lower=False)
             out: list[tuple] = []
-            texts = batch.column("text").cast(pa.binary()).to_pylist()
-            for i, (doc, text) in enumerate(zip(batch.column("doc_id").to_pylist(), texts, strict=True)):
+            for i, doc in enumerate(batch.column("doc_id").to_pylist()):
+                said = batch.column("text")[i].as_py().encode().split()
                 own = hashes[ends[i] : ends[i + 1]]
-                at, prefix, said = anchors(own, width), runs(own, PREFIX), text.split()
+                at, prefix = anchors(own, width), runs(own, PREFIX)
                 places = np.sort(np.asarray(batch.column("shared")[i].values).astype(np.int64))
                 los, his = np.searchsorted(at, places, "left"), np.searchsorted(at, places, "right")
                 for p, lo, hi in zip(places.tolist(), los.tolist(), his.tolist()):
                     if hi > lo:
                         context = b" ".join(said[lo : hi - 1 + width])
-                        out.append((int(prefix[p].view(np.int64)), xxhash.xxh3_128_digest(context), doc, lo, hi - lo, context))
-            columns = zip(*out, strict=True) if out else [()] * 6
-            kinds = [pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-            whole = pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["prefix", "context", "doc", "lo", "n", "words"]
-            )
-            for k in range(0, whole.num_rows, 4000):
-                yield whole.slice(k, 4000)
+                        out.append(_row(int(prefix[p]), doc, lo, hi - lo, p - lo, 0, width - PREFIX, context))
+                if len(out) >= 8000:
+                    yield from _rows(out)
+                    out = []
+            yield from _rows(out)
 
     return run
 
 
-def suffixes(contexts: pa.Array, counts: np.ndarray, width: int) -> np.ndarray:
-    """The first `width` words, as numbers, of each context's first counts[i] suffixes."""
-    ends, index, _ = words(contexts.cast(pa.string()))
-    starts = np.repeat(ends[:-1] - (np.cumsum(counts) - counts), counts) + np.arange(int(counts.sum()))
-    return index.astype(np.int32)[starts[:, None] + np.arange(width)[None, :]]
+def _split(width):
+    """Contexts of groups that are too large as those of two groups each, with longer prefixes: windows that have the
+    anchor at places a .. m, and at m + 1 .. b."""
+
+    def run(batches):
+        for batch in batches:
+            out: list[tuple] = []
+            rows = zip(*(batch.column(c).to_pylist() for c in ("doc", "lo", "n", "p", "a", "b", "words")), strict=True)
+            for doc, lo, n, p, a, b, said in rows:
+                said, m = said.split(b" "), (a + b) // 2
+                for low, high in ((a, m), (m + 1, b)):
+                    first, last = max(0, p - high), min(n - 1, p - low)  # windows
+                    if low <= high and first <= last:
+                        core = xxhash.xxh3_64_intdigest(b" ".join(said[p - low : p - high + width]), seed=low * 4096 + high)
+                        out.append(_row(core, doc, lo + first, last - first + 1, p - first, low, high, b" ".join(said[first : last + width])))
+                if len(out) >= 8000:
+                    yield from _rows(out)
+                    out = []
+            yield from _rows(out)
+
+    return run
 
 
-def repeats(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The suffix tree of the rows, down to their length: the leaves in order, and where in it each internal or leaf
-    node of the full depth begins."""
-    width = rows.shape[1]
-    order = np.argsort(np.ascontiguousarray(rows).view([("", np.void, rows.itemsize * width)]).ravel(), kind="stable") if len(rows) else np.zeros(0, np.int64)
+def ordered(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows' order, as the leaves of their tree, and how many leading numbers each has in common with the one before."""
+    order = np.argsort(np.ascontiguousarray(rows).view([("", np.void, rows.itemsize * rows.shape[1])]).ravel(), kind="stable")
     own = rows[order]
     unlike = own[1:] != own[:-1]
-    common = np.where(unlike.any(axis=1), unlike.argmax(axis=1), width) if len(own) > 1 else np.zeros(0, np.int64)
-    return order, np.concatenate(([0], np.flatnonzero(common < width) + 1)) if len(rows) else np.zeros(0, np.int64)
+    return order, np.concatenate(([0], np.where(unlike.any(axis=1), unlike.argmax(axis=1), rows.shape[1])))
+
+
+def nodes(order: np.ndarray, common: np.ndarray, depth: int) -> np.ndarray:
+    """The node of the tree at this depth, or the edge, that each row is below."""
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(common < depth)
+    return out
+
+
+def lowest(group, docs, contexts: pa.Array, n, p, a, width: int) -> np.ndarray:
+    """For each window of each context, one after the other, the smallest document of its group that has the window."""
+    ends, index, _ = words(contexts.cast(pa.string()))
+    count, code = len(docs), np.append(index.astype(np.int32), 0)
+    core, lengths = (p - a)[:, None], np.diff(ends)[:, None]
+    alone = -1 - np.arange(count, dtype=np.int32)[:, None]  # a word like no other, beyond a context's ends
+    at = core + np.arange(width)
+    right = np.where(at < lengths, code[np.minimum(ends[:-1, None] + at, len(index))], alone)
+    most = int((p - a).max(initial=0))
+    at = core - 1 - np.arange(max(1, most))
+    left = np.where(at >= 0, code[np.maximum(ends[:-1, None] + at, 0)], alone)
+    after = ordered(np.column_stack((group.astype(np.int32), right.astype(np.int32))))
+    before = ordered(left.astype(np.int32))
+    starts = np.cumsum(n) - n
+    out = np.empty(int(n.sum()), np.int64)
+    for t in range(most + 1):  # windows that begin t words before the prefix
+        own = np.flatnonzero((core[:, 0] >= t) & (core[:, 0] - t < n))
+        if len(own):
+            node = nodes(*after, width - t + 1)[own] * (count + 1) + nodes(*before, t)[own]
+            kind = np.argsort(node, kind="stable")
+            begins = np.flatnonzero(np.concatenate(([True], np.diff(node[kind]) != 0)))
+            low = np.minimum.reduceat(docs[own][kind], begins)
+            rows = own[kind]
+            out[starts[rows] + core[rows, 0] - t] = np.repeat(low, np.diff(np.append(begins, len(rows))))
+    return out
 
 
 def _trees(width):
-    """Rows sorted by prefix; whole groups are taken together, about 8,000 contexts at a time."""
+    """Rows sorted by core; whole groups are taken together, about HELD contexts at a time. Contexts of which no window
+    starts in an earlier document are left out."""
 
-    def first(held):
+    def found(held):
         table = pa.Table.from_batches(held)
-        counts = np.asarray(table["n"].combine_chunks()).astype(np.int64)
-        docs = np.repeat(np.asarray(table["doc"].combine_chunks()), counts)
-        order, nodes = repeats(suffixes(table["words"].combine_chunks(), counts, width))
-        low = np.minimum.reduceat(docs[order], nodes)
-        out = np.empty(len(docs), np.int64)
-        out[order] = np.repeat(low, np.diff(np.append(nodes, len(docs))))
-        ends = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(out))
-        return pa.RecordBatch.from_arrays([table["context"].combine_chunks(), lists], ["context", "first"])
+        core, docs, top, n, p, a = (np.asarray(table[c].combine_chunks()).astype(np.int64) for c in ("core", "doc", "top", "n", "p", "a"))
+        group = np.cumsum(np.concatenate(([False], core[1:] != core[:-1])))
+        low = lowest(group, docs, table["words"].combine_chunks(), n, p, a, width)
+        ends = np.concatenate(([0], np.cumsum(n)))
+        some = np.minimum.reduceat(low, ends[:-1]) < top
+        lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(low))
+        return pa.RecordBatch.from_arrays([table["context"].combine_chunks(), lists], ["context", "first"]).filter(pa.array(some))
 
     def run(batches):
         held, n, last = [], 0, None
         for batch in batches:
-            prefix = np.asarray(batch.column("prefix"))
+            core = np.asarray(batch.column("core"))
             at = 0
             while at < batch.num_rows:
                 to = min(batch.num_rows, at + 2000)
-                if n >= 8000:  # a group that has begun is finished first
-                    same = int(np.argmax(prefix[at:] != last)) if (prefix[at:] != last).any() else len(prefix) - at
+                if n >= HELD:  # a group that has begun is finished first
+                    other = core[at:] != last
+                    same = int(np.argmax(other)) if other.any() else len(core) - at
                     if same == 0:
-                        yield first(held)
+                        yield found(held)
                         held, n = [], 0
                     else:
                         to = at + same
                 held.append(batch.slice(at, to - at))
                 n += to - at
-                last, at = prefix[to - 1], to
+                last, at = core[to - 1], to
         if n:
-            yield first(held)
-
-    return run
-
-
-def _windows(width):
-    def run(batches):
-        for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                part = batch.slice(i, 500)
-                out = []
-                for context, n, said in zip(*(part.column(c).to_pylist() for c in ("context", "n", "words")), strict=True):
-                    own = said.split(b" ")
-                    out += [(context, j, xxhash.xxh3_128_digest(b" ".join(own[j : j + width]))) for j in range(n)]
-                columns = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, k) for c, k in zip(columns, [pa.binary(), pa.int32(), pa.binary()], strict=True)], ["context", "j", "window"]
-                )
+            yield found(held)
 
     return run
 
@@ -220,28 +273,15 @@ def _sized(df: DataFrame, listed: str) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST and (items or 0) <= 10 * BROADCAST else df
 
 
-def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with n_words, n_removed (long) and kept_text: the words `[^\\x20\\x09-\\x0D]+` left, joined by one space, after
-    each word went that is covered by a window of `width` words whose sequence also starts in a document with a smaller
-    id. Windows are judged on the input, not on what is left.
-
-    A null or blank text has no words. Repeats within one document stay. Rows with a null id keep all their words and
-    take nothing from others. Of rows that repeat an id, the shortest with `width` words or more (then the one with the
-    least hash) is judged; the others are cut only if their words are the same. Other columns pass through; columns of
-    docs with the new names are replaced. An empty table gives an empty one. Windows on which a text of any length
-    depends are all compared; there are no caps. width: more than PREFIX words."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "substring")
-    docs = docs.drop("n_words", "n_removed", "kept_text")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    sketched = rows.mapInArrow(
-        lean(_sketched(width)), "doc_id long, n_words long, key binary, prefixes array<long>, places array<int>"
-    )
+def _judged(rows: DataFrame, scratch: Scratch, width: int) -> DataFrame:
+    """(doc_id, key, whole, from, to) of rows (doc_id, text): what of which documents repeats an earlier one."""
+    sketched = rows.mapInArrow(lean(_sketched(width)), "doc_id long, n_words long, key binary, prefixes array<long>, places array<int>")
     sketched = scratch.write(sketched.where(F.col("n_words") >= width), "sketches")
     # of rows that repeat an id one is judged; of equal texts the smallest id stands for all
-    ids = sketched.groupBy("doc_id").agg(F.min(F.struct("n_words", "key")).alias("s")).select("doc_id", "s.key")
-    low = ids.groupBy("key").agg(F.min("doc_id").alias("rep"))
-    status = scratch.write(ids.join(low, "key").select("doc_id", "key", (F.col("doc_id") != F.col("rep")).alias("whole")), "status")
+    ids = scratch.write(sketched.groupBy("doc_id").agg(F.min(F.struct("n_words", "key")).alias("s")).select("doc_id", "s.key"), "ids")
+    low = scratch.write(ids.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")).where("n > 1").select("key", "rep"), "copies")
+    status = ids.join(low, "key", "left").select("doc_id", "key", (F.col("doc_id") != F.coalesce("rep", "doc_id")).alias("whole"))
+    status = scratch.write(status, "status")
     reps = status.where("not whole").select("doc_id", "key")
     placed = sketched.join(reps, ["doc_id", "key"]).select("doc_id", F.explode(F.arrays_zip("prefixes", "places")).alias("x"))
     placed = placed.select("doc_id", F.col("x.prefixes").alias("prefix"), F.col("x.places").alias("place"))
@@ -251,34 +291,59 @@ def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", tex
     mine = placed.join(shared, "prefix").groupBy("doc_id").agg(F.collect_list("place").alias("shared"))
     mine = scratch.write(mine, "shared")
     texts = rows.join(_sized(mine, "shared"), "doc_id")
-    found = scratch.write(
-        texts.mapInArrow(lean(_contexts(width)), "prefix long, context binary, doc long, lo int, n int, words binary"), "contexts"
-    )
-    each = found.groupBy("prefix", "context", "n").agg(F.min("doc").alias("doc"), F.first("words").alias("words"))
-    each = scratch.write(each, "distinct")
-    groups = each.groupBy("prefix").agg(F.count("*").alias("contexts"))
-    sized = each.join(groups, "prefix")
-    alone = sized.where("contexts = 1").selectExpr("context", "array_repeat(doc, n) as first")
-    trees = (
-        sized.where(f"contexts between 2 and {GROUP}").select("prefix", "context", "doc", "n", "words")
-        .repartition("prefix").sortWithinPartitions("prefix").mapInArrow(lean(_trees(width)), "context binary, first array<long>")
-    )
-    large = sized.where(f"contexts > {GROUP}")
-    windows = scratch.write(
-        large.select("context", "n", "words").mapInArrow(lean(_windows(width)), "context binary, j int, window binary")
-        .join(large.select("context", "doc"), "context"), "windows",
-    )
-    lowest = windows.groupBy("window").agg(F.min("doc").alias("low"))
-    split = windows.join(lowest, "window").groupBy("context").agg(F.sort_array(F.collect_list(F.struct("j", "low"))).alias("x"))
-    first = alone.union(trees).union(split.select("context", F.col("x.low").alias("first")))
-    gone = found.select("context", "doc", "lo").join(first, "context")
+    found = scratch.write(texts.mapInArrow(lean(_contexts(width)), _FOUND), "contexts0")
+    every, firsts, step = None, None, 0
+    while True:
+        each = found.groupBy("core", "context").agg(
+            F.min("doc").alias("doc"), F.max("doc").alias("top"), *(F.first(c).alias(c) for c in ("n", "p", "a", "words"))
+        )
+        each = scratch.write(each, f"distinct{step}")
+        groups = each.groupBy("core").agg(F.count("*").alias("contexts"), F.min("doc").alias("lo"), F.max("top").alias("hi"))
+        groups = scratch.write(groups.where("lo < hi").select("core", "contexts"), f"groups{step}")
+        sized = each.join(groups.where(F.col("contexts") <= GROUP), "core")
+        alone = sized.where("contexts = 1 and doc < top").selectExpr("context", "array_repeat(doc, n) as first")
+        trees = sized.where("contexts > 1").select("core", "context", "doc", "top", "n", "p", "a", "words")
+        trees = trees.repartition("core").sortWithinPartitions("core").mapInArrow(lean(_trees(width)), "context binary, first array<long>")
+        first = scratch.write(alone.union(trees), f"first{step}")
+        part = found.select("context", "doc", "lo")
+        every, firsts = (part, first) if every is None else (every.union(part), firsts.union(first))
+        large = groups.where(F.col("contexts") > GROUP).select("core")
+        if large.isEmpty():
+            break
+        step += 1
+        found = scratch.write(found.join(large, "core").select(found.columns).mapInArrow(lean(_split(width)), _FOUND), f"contexts{step}")
+    gone = every.join(firsts, "context")
     gone = gone.select("doc", "lo", F.transform("first", lambda m: m < F.col("doc")).alias("gone")).where("exists(gone, x -> x)")
     cuts = gone.groupBy("doc").agg(F.collect_list(F.struct("lo", "gone")).alias("cuts"))
     cuts = cuts.select(F.col("doc").alias("doc_id"), "cuts").mapInArrow(lean(_merged(width)), "doc_id long, from array<int>, to array<int>")
-    runs_ = F.lit(None).cast("array<int>")
-    marks = status.where("whole").select("doc_id", "key", F.lit(True).alias("whole"), runs_.alias("from"), runs_.alias("to"))
+    none = F.lit(None).cast("array<int>")
+    marks = status.where("whole").select("doc_id", "key", F.lit(True).alias("whole"), none.alias("from"), none.alias("to"))
     marks = marks.union(cuts.join(status.select("doc_id", "key"), "doc_id").select("doc_id", "key", F.lit(False), "from", "to"))
-    marks = scratch.write(marks, "marks").select(*(F.col(c).alias(f"__{c}") for c in ("doc_id", "key", "whole", "from", "to")))
+    return scratch.write(marks, "marks")
+
+
+def repeated_spans(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, whole, from, to) of the documents that repeat one with a smaller id: whole copies, and for others the
+    runs of words, as long as they can be, that are covered by repeated windows (from included, to excluded). Rows are
+    judged as in remove_repeats; documents that repeat nothing have no row."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
+    return _judged(rows, Scratch(docs.sparkSession, "substring"), width).select("doc_id", "whole", "from", "to")
+
+
+def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs with n_words, n_removed (long) and kept_text: the words `[^\\x20\\x09-\\x0D]+` left, joined by one space, after
+    each word went that is covered by a window of `width` words whose sequence also starts in a document with a smaller
+    id. Windows are judged on the input, not on what is left.
+
+    A null or blank text has no words. Repeats within one document stay. Rows with a null id keep all their words and
+    take nothing from others. Of rows that repeat an id, the shortest with `width` words or more (then the one with the
+    least hash) is judged; the others are cut only if their words are the same. Other columns pass through; columns of
+    docs with the new names are replaced. An empty table gives an empty one. Windows on which a text of any length
+    depends are all compared; there are no caps. width: more than PREFIX words."""
+    scratch = Scratch(docs.sparkSession, "substring")
+    docs = docs.drop("n_words", "n_removed", "kept_text")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
+    marks = _judged(rows, scratch, width).select(*(F.col(c).alias(f"__{c}") for c in ("doc_id", "key", "whole", "from", "to")))
     names = docs.columns
     joined = docs.join(_sized(marks, "__from"), F.col(id_col).cast("long") == F.col("__doc_id"), "left")
     joined = joined.select(*[docs[n] for n in names], F.coalesce("__whole", F.lit(False)).alias("__whole"), "__from", "__to", "__key")

@@ -82,10 +82,12 @@ def test_blocks_of_large_buckets(spark, monkeypatch):
     assert got == {i: c for i, (_, c) in near(texts).items()}
 
 
-@pytest.mark.parametrize("group", [1, 2000])
-def test_repeats_equal_brute_force(spark, monkeypatch, group):
+@pytest.mark.parametrize("group,held", [(1, 1), (4, 10), (20000, 6000)])
+def test_repeats_equal_brute_force(spark, monkeypatch, group, held):
+    """Groups of one context take prefixes of up to a whole window."""
     monkeypatch.setattr(substring_dedup, "GROUP", group)
-    texts = passages(80, 7)
+    monkeypatch.setattr(substring_dedup, "HELD", held)
+    texts = passages(80, 7) | {500: " ".join(["again", "and"] * 300), 501: " ".join(["x"] + ["again", "and"] * 200), 502: "ab " * 70, 503: "ab " * 60}
     df = table(spark, texts).selectExpr("*", "'x' as whole", "text as key", "1 as cuts")
     got = substring_dedup.remove_repeats(df.repartition(3))
     assert got.columns == ["doc_id", "text", "whole", "key", "cuts", "n_words", "n_removed", "kept_text"]
@@ -93,6 +95,13 @@ def test_repeats_equal_brute_force(spark, monkeypatch, group):
     assert rows == {i: (n, n - len(w), " ".join(w)) for i, (n, w) in repeats(texts).items()}
 
 
+def test_spans_are_maximal_runs(spark):
+    said = [f"w{i}" for i in range(200)]
+    texts = {1: " ".join(said), 2: " ".join(["a"] + said[20:120] + ["b"] + said[100:149] + ["c"] + said[140:190]), 3: " ".join(said)}
+    got = {r.doc_id: (r.whole, r["from"], r["to"]) for r in substring_dedup.repeated_spans(table(spark, texts)).collect()}
+    assert got == {2: (False, [1, 152], [101, 202]), 3: (True, None, None)}
+
+
 def test_repeats_of_odd_tables(spark):
     said = " ".join(f"w{i}" for i in range(60))
     df = spark.createDataFrame([(None, said), (1, said), (1, said), (2, said), (2, "other"), (3, said + " x")], "doc_id long, text string")
