@@ -9,8 +9,9 @@ The n-grams of all orders are counted into tables partitioned by their hash, and
    block that asked. No n-gram is pruned, and no table is broadcast.
 4. A block joins its answers, which give each word's score, and the scores are summed by document.
 
-N-grams are told apart by 64-bit hashes: of n distinct ones, n ** 2 / 2 ** 65 pairs share a hash (1e-4 pairs for the 6e7
-n-grams of half a gigabyte), and only their own counts are off then.
+N-grams are told apart by hashes of 56 bits, or of 64 where a corpus has over WIDE words: of n distinct ones, n ** 2 / 2 **
+57 (or 65) pairs share a hash, and only their own counts are off then. That is 0.2 pairs of the 1.5e8 n-grams of 0.9 GB of
+text, and one n-gram in ten million at worst, just below WIDE.
 """
 
 from __future__ import annotations
@@ -29,7 +30,10 @@ from .shingles import STEP, mixed, word_hashes
 #: Words of the longest n-grams, and what each step to a shorter one costs.
 ORDER, BACKOFF = 3, 0.4
 #: Bytes of text in a block, and n-grams asked for in a share, about.
-BLOCK, SHARE = 4 << 20, 1 << 21
+BLOCK, SHARE = 8 << 20, 1 << 21
+#: Words of a corpus from which hashes have 64 bits.
+WIDE = 1 << 33
+_ZSTD = pa.Codec("zstd", compression_level=1)
 
 
 @dataclass
@@ -40,35 +44,55 @@ class Model:
     bits: int
     total: int
     order: int
+    width: int
 
 
 def packed(values: np.ndarray) -> bytes:
-    """Unsigned numbers, plane by plane of their bytes, as many as the largest needs."""
+    """Unsigned numbers, plane by plane of their bytes, as many as the largest needs, compressed where that helps."""
     width = max(1, (int(values.max(initial=0)).bit_length() + 7) // 8)
-    return bytes([width]) + np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+    planes = np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+    if len(planes) > 64 and len(small := _ZSTD.compress(planes, asbytes=True)) < len(planes):
+        return bytes([width + 8]) + len(planes).to_bytes(8, "little") + small
+    return bytes([width]) + planes
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    width = data[0]
-    planes = np.frombuffer(data, np.uint8, offset=1).reshape(width, -1)
+    width, planes = data[0], data[1:]
+    if width > 8:
+        width, planes = width - 8, _ZSTD.decompress(data[9:], int.from_bytes(data[1:9], "little"))
+    planes = np.frombuffer(planes, np.uint8).reshape(width, -1)
     out = np.zeros((planes.shape[1], 8), np.uint8)
     out[:, :width] = planes.T
     return out.view("<u8").ravel()
 
 
 def _ascending(data: bytes) -> np.ndarray:
-    return np.cumsum(unpacked(data), dtype=np.uint64)
+    if not data:
+        return np.zeros(0, np.uint64)
+    out = np.concatenate((np.frombuffer(data, "<u8", 1), unpacked(data[8:])))
+    return np.cumsum(out, out=out)
 
 
 def _deltas(hashes: np.ndarray) -> bytes:
-    return packed(np.concatenate((hashes[:1], np.diff(hashes))))
+    return hashes[:1].astype("<u8").tobytes() + packed(np.diff(hashes)) if len(hashes) else b""
+
+
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct values in order, where in their order each begins, and which of them each value is."""
+    order = np.argsort(values, kind="stable")
+    own = values[order]
+    new = np.concatenate(([True], own[1:] != own[:-1])) if len(own) else np.zeros(0, bool)
+    place = np.empty(len(values), np.int32)
+    place[order] = np.cumsum(new, dtype=np.int32) - 1
+    begins = np.flatnonzero(new)
+    return own[begins], begins, place
 
 
 def _blocks(batches):
     made = TaskContext.get().partitionId() << 32
     for batch in blocks(batches, most=BLOCK):
         ends, hashes = word_hashes(batch.column("text"), lower=False)
-        kinds, codes = np.unique(hashes, return_inverse=True)
+        kinds, _, codes = distinct(hashes)
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array([made]), pa.array([len(hashes)]), pa.array([batch.column("doc_id").to_pylist()], pa.list_(pa.int64())),
@@ -86,7 +110,7 @@ def _read(batch, i) -> tuple[np.ndarray, np.ndarray]:
     return ends, _ascending(kinds)[unpacked(codes).astype(np.int64)] if ends[-1] else np.zeros(0, np.uint64)
 
 
-def _grams(ends: np.ndarray, hashes: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+def _grams(ends: np.ndarray, hashes: np.ndarray, order: int, width: int = 64) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the n-grams that start at each word, a row for each order, and which of them their text has."""
     n = len(hashes)
     out, there = np.zeros((order, n), np.uint64), np.zeros((order, n), bool)
@@ -97,18 +121,21 @@ def _grams(ends: np.ndarray, hashes: np.ndarray, order: int) -> tuple[np.ndarray
             run = run[: max(0, n - k)] * STEP + hashes[k:]
         out[k, : len(run)] = mixed(run + np.uint64(k * 0x51_7C_C1_B7_27_22_0A_95 % (1 << 64)))
         there[k] = left > k
+    out >>= np.uint64(64 - width)
     return out, there
 
 
-def _asks(order, bits):
+def _asks(order, bits, width):
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                grams, there = _grams(*_read(batch, i), order)
+                grams, there = _grams(*_read(batch, i), order, width)
                 if not there.size:
                     continue
-                hashes, counts = np.unique(grams[there], return_counts=True)
-                share = (hashes >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
+                grams = np.sort(grams[there])
+                begins = np.flatnonzero(np.concatenate(([True], grams[1:] != grams[:-1])))
+                hashes, counts = grams[begins], np.diff(np.append(begins, len(grams)))
+                share = (hashes >> np.uint64(width - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
                 cuts = np.concatenate(([0], np.flatnonzero(np.diff(share)) + 1, [len(share)]))
                 parts = list(zip(cuts[:-1].tolist(), cuts[1:].tolist()))
                 for k in range(0, len(parts), 256):
@@ -145,13 +172,9 @@ def _shares(work):
 
 def _summed(rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The distinct n-grams of a share's rows, the count of each, and which of them each row's n-grams are."""
-    every, own = np.concatenate([h for _, h, _ in rows]), np.concatenate([c for *_, c in rows]).astype(np.int64)
-    order = np.argsort(every, kind="stable")
-    at = every[order]
-    new = np.concatenate(([True], at[1:] != at[:-1]))
-    place = np.empty(len(every), np.int32)
-    place[order] = np.cumsum(new) - 1
-    return at[new], np.add.reduceat(own[order], np.flatnonzero(new)), place
+    own = np.concatenate([c for *_, c in rows]).astype(np.int64)
+    kinds, begins, place = distinct(np.concatenate([h for _, h, _ in rows]))
+    return kinds, np.bincount(place, own, len(begins)).astype(np.int64), place
 
 
 def _answers(share, blocks_, found, sizes):
@@ -188,15 +211,15 @@ def _looked_up(share, rows):
         yield from _answers(share, [block], np.where(table[0][at] == hashes, table[1][at], 0), [len(hashes)])
 
 
-def _scored(order, backoff, total):
+def _scored(order, backoff, total, width):
     def run(batches):
         for batch in batches:
             for i in range(batch.num_rows):
                 ends, hashes = _read(batch, i)
-                grams, there = _grams(ends, hashes, order)
+                grams, there = _grams(ends, hashes, order, width)
                 counts = np.zeros(grams.shape)
                 if there.any():
-                    kinds, place = np.unique(grams[there], return_inverse=True)
+                    kinds, _, place = distinct(grams[there])
                     told = [unpacked(x["totals"]) for x in sorted(batch.column("answers")[i].as_py(), key=lambda x: x["share"])]
                     counts[there] = np.concatenate(told)[place]
                     assert sum(map(len, told)) == len(kinds)
@@ -240,8 +263,9 @@ def _owned(rows: DataFrame, work, schema: str) -> DataFrame:
 _ROWS, _TOLD = "share long, block long, hashes binary, counts binary", "block long, share long, totals binary"
 
 
-def _bits(total: int, order: int) -> int:
-    return max(0, math.ceil(math.log2(max(1, total * order / SHARE))))
+def _cut(total: int, order: int) -> tuple[int, int]:
+    """Bits of a hash that number its share, and those of a hash."""
+    return max(0, math.ceil(math.log2(max(1, total * order / SHARE)))), 56 if total < WIDE else 64
 
 
 def fit(docs: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_col: str = "text") -> Model:
@@ -249,9 +273,9 @@ def fit(docs: DataFrame, order: int = ORDER, id_col: str = "doc_id", text_col: s
     cross rows. The tables are written below the shared folder."""
     scratch = Scratch(docs.sparkSession, "model")
     made, total = _written(docs, scratch, id_col, text_col)
-    bits = _bits(total, order)
-    asked = made.mapInArrow(lean(_asks(order, bits)), _ROWS)
-    return Model(scratch.write(_owned(asked, _tables, _ROWS), "table"), bits, total, order)
+    bits, width = _cut(total, order)
+    asked = made.mapInArrow(lean(_asks(order, bits, width)), _ROWS)
+    return Model(scratch.write(_owned(asked, _tables, _ROWS), "table"), bits, total, order, width)
 
 
 def stupid_backoff(
@@ -270,15 +294,14 @@ def stupid_backoff(
     scratch = Scratch(docs.sparkSession, "backoff")
     made, total = _written(docs, scratch, id_col, text_col)
     if model:
-        order, total, bits = model.order, model.total, model.bits
-        asked = made.mapInArrow(lean(_asks(order, bits)), _ROWS).unionByName(model.table)
-        told = _owned(asked, _looked_up, _TOLD)
+        order, total, bits, width = model.order, model.total, model.bits, model.width
+        asked = made.mapInArrow(lean(_asks(order, bits, width)), _ROWS).unionByName(model.table)
+        told = scratch.write(_owned(asked, _looked_up, _TOLD), "answers")
     else:
-        bits = _bits(total, order)
-        told = _owned(made.mapInArrow(lean(_asks(order, bits)), _ROWS), _own, _TOLD)
-    told = scratch.write(told, "answers")
+        bits, width = _cut(total, order)
+        told = scratch.write(_owned(made.mapInArrow(lean(_asks(order, bits, width)), _ROWS), _own, _TOLD), "answers")
     answers = told.groupBy("block").agg(F.collect_list(F.struct("share", "totals")).alias("answers"))
     each = made.join(answers, "block", "left").mapInArrow(
-        lean(_scored(order, backoff, total)), "doc_id long, n_tokens long, log_score double"
+        lean(_scored(order, backoff, total, width)), "doc_id long, n_tokens long, log_score double"
     )
     return each.groupBy("doc_id").agg(F.sum("n_tokens").alias("n_tokens"), F.sum("log_score").alias("log_score"))

@@ -31,8 +31,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from .common import Scratch, blocks, lean, words
 from .shingles import runs, word_hashes
 
-#: Words of an anchor; contexts that a tree holds (some 30 MB); contexts that a task takes at a time; rows that may be broadcast.
-PREFIX, GROUP, HELD, BROADCAST = 12, 20_000, 6000, 300_000
+#: Words of an anchor; contexts that a tree holds (half a megabyte, so that tasks stay even); contexts that a task takes at a time; rows that may be broadcast.
+PREFIX, GROUP, HELD, BROADCAST = 12, 1000, 6000, 300_000
 _FOUND = "core long, context binary, doc long, lo int, n int, p int, a int, b int, words binary"
 
 
