@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 ROOT = str(Path(__file__).resolve().parents[2])
 #: Bytes of text that a Python task handles at a time.
 BLOCK_BYTES = 3 << 20
+#: Spark's option to remove an execution's shuffle files when it has ended.
+FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Pieces, and their ids, that a task keeps between blocks.
 KEPT, KEPT_IDS, KEPT_LENGTH = 200_000, 2_000_000, 40
 
@@ -53,8 +55,14 @@ class Scratch:
             self.open[-1].append(self)
 
     def write(self, df: DataFrame, table: str) -> DataFrame:
-        path = f"{self.path}/{table}"
-        df.write.option("compression", "zstd").parquet(path)
+        """df as a table that is read from now on. The shuffles that it took go as soon as it is written."""
+        path, conf = f"{self.path}/{table}", self.spark.conf
+        before = conf.get(FREED, None)
+        conf.set(FREED, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            conf.unset(FREED) if before is None else conf.set(FREED, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def delete(self, table: str = "") -> None:

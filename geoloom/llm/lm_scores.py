@@ -297,6 +297,7 @@ def stupid_backoff(
         order, total, bits, width = model.order, model.total, model.bits, model.width
         asked = made.mapInArrow(lean(_asks(order, bits, width)), _ROWS).unionByName(model.table)
         told = scratch.write(_owned(asked, _looked_up, _TOLD), "answers")
+        del asked
     else:
         bits, width = _cut(total, order)
         told = scratch.write(_owned(made.mapInArrow(lean(_asks(order, bits, width)), _ROWS), _own, _TOLD), "answers")
