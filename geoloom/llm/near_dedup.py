@@ -10,7 +10,11 @@ Equal sets are one class. In a bucket (classes that share a band) the class with
 compared with all others. Then classes outside their bucket's largest component are compared with the few mates that
 their sketches say are nearest, and at last, inside the bucket's task, with all mates of unlike components; no pair is
 left out but those that the estimate, or the triangle inequality with the distances to the leader, rules out. So no
-link between components is lost, and members of a large group of near copies, once linked, are not paired.
+link between components is lost, and members of a large group of near copies, once linked, are not paired: of a large
+bucket the members of its largest component are dealt out in blocks, once each, and meet the others there.
+
+Shingles are compared by 64-bit hashes; a pair of sets of 20,000 shingles each has an unlike pair with one hash with a
+probability of 2e-11, which would make one shingle too many common.
 """
 
 from __future__ import annotations
@@ -28,8 +32,9 @@ from .shingles import mixed, shingle_sets
 REGISTERS, ROWS, BASE, RATE = 128, 4, 1.001, 20.0
 #: Ids that may be broadcast; beyond, the join shuffles.
 BROADCAST = 1_000_000
-#: Classes of a bucket that meet in one task; larger buckets are dealt out as pairs of blocks.
-BLOCK = 2048
+#: Classes of a block, and their shingles: larger buckets are dealt out as pairs of blocks, other than the pairs inside
+#: the largest component.
+BLOCK, BLOCK_SHINGLES = 768, 1_000_000
 _FACTORS = mixed(np.arange(1, REGISTERS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)) | np.uint64(1)
 
 
@@ -291,15 +296,35 @@ def near_duplicates(
     for step, nearest in (("2", 3), ("3", None)):
         placed = ranked.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
         placed = scratch.write(placed.select("band", "at", "id", "n", "mates", "component"), f"placed{step}")
-        unlike = placed.groupBy("band").agg(F.min("component").alias("c"), F.max("component").alias("d")).where("c <> d").select("band")
+        sizes = placed.groupBy("band", "component").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+        unlike = sizes.groupBy("band").agg(
+            F.max(F.struct("c", "component", "s")).alias("m"), F.count("*").alias("kinds"), F.sum("c").alias("c"), F.sum("s").alias("s")
+        )
+        count = lambda c, s: F.ceil(F.greatest(F.lit(1.0), c / BLOCK, s / BLOCK_SHINGLES)).cast("int")
+        unlike = unlike.where("kinds > 1").select(
+            "band", F.col("m.component").alias("main"), count(F.col("m.c"), F.col("m.s")).alias("mains"),
+            count(F.col("c") - F.col("m.c"), F.col("s") - F.col("m.s")).alias("others"), (count(F.col("c"), F.col("s")) == 1).alias("whole"),
+        )
         unlike = scratch.write(unlike, f"unlike{step}")
         rest = placed.join(unlike, "band").join(leaders, "band")
         rest = rest.select("*", *ordered(F.col("id"), F.col("leader"))).join(apart, ["a", "b"], "left")
         rest = rest.withColumns({c: F.when(F.col("id") == F.col("leader"), 0.0).otherwise(F.col(c)) for c in ("near", "away")})
-        # large buckets are dealt out as pairs of blocks
-        count = F.ceil(F.col("mates") / BLOCK).cast("int")
-        rest = rest.withColumn("block", F.pmod(F.xxhash64("id"), count).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), count - 1)))
-        rest = rest.select("band", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "at", "id", "n", "component", "near", "away")
+        # blocks of the largest component have numbers below 0
+        inside, spot = F.col("component") == F.col("main"), F.xxhash64("id")
+        block = F.when(F.col("whole"), 0).when(inside, -1 - F.pmod(spot, "mains")).otherwise(F.pmod(spot, "others")).cast("int")
+        rest = rest.withColumn("block", block)
+        pair = lambda lo, hi: F.struct(lo.cast("int").alias("lo"), hi.cast("int").alias("hi"))
+        every = F.sequence(F.lit(0), F.col("others") - 1)
+        meets = (
+            F.when(F.col("whole"), F.array(pair(F.lit(0), F.lit(0))))
+            .when(inside, F.transform(every, lambda o: pair(F.col("block"), o)))
+            .otherwise(F.concat(
+                F.transform(every, lambda o: pair(F.least("block", o), F.greatest("block", o))),
+                F.transform(F.sequence(F.lit(1), F.col("mains")), lambda m: pair(-m, F.col("block"))),
+            ))
+        )
+        rest = rest.withColumn("met", F.explode(meets))
+        rest = rest.select("band", "met.lo", "met.hi", "block", "at", "id", "n", "component", "near", "away")
         rest = rest.join(own.select("id", "registers"), "id")
         dealt = rest.repartition("band", "lo", "hi").sortWithinPartitions("band", "lo", "hi")
         least, far = percent / 100 - margin, percent / 100

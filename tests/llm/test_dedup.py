@@ -76,7 +76,8 @@ def test_near_copies_equal_brute_force(spark):
 
 
 def test_blocks_of_large_buckets(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    monkeypatch.setattr(near_dedup, "BLOCK", 3)
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", 1000)
     texts = {t["doc_id"]: t["text"] for t in pq.read_table(DOCS, columns=["doc_id", "text"]).to_pylist()}
     got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(table(spark, texts)).collect()}
     assert got == {i: c for i, (_, c) in near(texts).items()}
