@@ -188,21 +188,33 @@ def nearest_admin_area(points: DataFrame, vertices: DataFrame) -> DataFrame:
     return inside.unionByName(best)
 
 
+#: Sizes of cells, each twice the one before, in which frames meet areas: from a level's extents to the whole map.
+SIZES = 24
+
+
 def centred(frames: DataFrame, box: DataFrame) -> DataFrame:
     """frames (with a Mercator box x0, y0, x1, y1) joined to the areas whose box centre lies in the frame widened by the
-    level's largest half extents. Cells as large as those extents give the join equal keys."""
-    extents = {r.level: (r.max_hw, r.max_hh) for r in level_extents(box).collect()}  # one row a level
-    out = None
-    for level, (hw, hh) in sorted(extents.items()):
-        w, h = max(2 * hw, 1.0), max(2 * hh, 1.0)
-        own = box.where(F.col("level") == level)
-        own = own.withColumns({"cx": F.floor(F.col("center_x") / w), "cy": F.floor(F.col("center_y") / h)})
-        cover = lambda lo, hi, by, s: F.explode(F.sequence(F.floor((F.col(lo) - by) / s), F.floor((F.col(hi) + by) / s)))
-        wide = frames.select("*", cover("x0", "x1", hw, w).alias("cx")).select("*", cover("y0", "y1", hh, h).alias("cy"))
-        near = F.col("center_x").between(F.col("x0") - hw, F.col("x1") + hw) & F.col("center_y").between(F.col("y0") - hh, F.col("y1") + hh)
-        part = wide.join(own, ["cx", "cy"]).where(near).drop("cx", "cy")
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else frames.crossJoin(box.limit(0))
+    level's largest half extents. A frame meets the areas in cells of its own widened size, so it covers four at most
+    and the join has equal keys; an area has a cell of each size."""
+    extents = [(r.level, r.max_hw, r.max_hh) for r in level_extents(box).collect()]  # one row a level
+    if not extents:
+        return frames.crossJoin(box.limit(0))
+    each = F.explode(F.array(*(F.struct(F.lit(n).alias("n"), F.lit(hw).alias("hw"), F.lit(hh).alias("hh")) for n, hw, hh in extents)))
+    side = lambda half: F.greatest(2 * F.col(f"e.{half}"), F.lit(1.0))
+    keyed = lambda df: df.withColumn("e", each).select(*df.columns, F.col("e.n").alias("__level"), "e.hw", "e.hh", side("hw").alias("w"), side("hh").alias("h"))
+    twice = F.pow(F.lit(2.0), F.col("k"))
+    at = lambda c, by, s: F.floor((c + by) / (F.col(s) * twice)).cast("long")
+    wide = keyed(frames)
+    ratio = F.greatest((F.col("x1") - F.col("x0")) / F.col("w"), (F.col("y1") - F.col("y0")) / F.col("h")) + 1
+    wide = wide.withColumn("k", F.least(F.ceil(F.log2(F.greatest(ratio, F.lit(1.0)))), F.lit(SIZES)).cast("int"))
+    for cell, lo, hi, half, s in (("cx", "x0", "x1", "hw", "w"), ("cy", "y0", "y1", "hh", "h")):
+        wide = wide.withColumn(cell, F.explode(F.sequence(at(F.col(lo), -F.col(half), s), at(F.col(hi), F.col(half), s))))
+    own = keyed(box).where(F.col("__level") == F.col("level")).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(SIZES))))
+    own = own.withColumns({"cx": at(F.col("center_x"), F.lit(0.0), "w"), "cy": at(F.col("center_y"), F.lit(0.0), "h")}).drop("w", "h", "hw", "hh", "__level")
+    near = F.col("center_x").between(F.col("x0") - F.col("hw"), F.col("x1") + F.col("hw"))
+    near &= F.col("center_y").between(F.col("y0") - F.col("hh"), F.col("y1") + F.col("hh"))
+    met = wide.withColumnRenamed("__level", "level").join(own, ["level", "k", "cx", "cy"]).where(near)
+    return met.select(*frames.columns, *(c for c in box.columns))
 
 
 def nearest_object(distances: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ buildings: building_id, lat, lon, street, house_number, shop_name, address. quer
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.geometry import haversine, in_box
@@ -36,6 +38,22 @@ def grams(words: DataFrame, column: str = "token") -> DataFrame:
     return words.where(chars > 0).select("*", F.explode(F.array_distinct(runs)).alias("gram"))
 
 
+@dataclass
+class Index:
+    """What searches read, built once: postings (token, building_id), grams (token, gram) of the vocabulary, and the number
+    of words (n) that each gram is in."""
+
+    postings: DataFrame
+    grams: DataFrame
+    gram_counts: DataFrame
+
+
+def build_index(buildings: DataFrame) -> Index:
+    posting = postings(buildings)
+    runs = grams(vocabulary(posting))
+    return Index(posting, runs, runs.groupBy("gram").agg(F.count("*").alias("n")))
+
+
 def get_buildings(posting: DataFrame, token: str) -> DataFrame:
     return posting.where(F.col("token") == token).select("building_id")
 
@@ -57,30 +75,35 @@ def search_exact(queries: DataFrame, posting: DataFrame) -> DataFrame:
     return _all_tokens(wanted.join(posting, "token").select("query_id", "token", "building_id"), wanted)
 
 
-def containing_tokens(wanted: DataFrame, posting: DataFrame) -> DataFrame:
-    """(query_id, token, building_id): buildings with a word that contains the token. Words and tokens meet in the
-    token's first three characters, so the join has equal keys."""
-    parts = wanted.select("token").distinct().withColumn("gram", F.substring("token", 1, 3))
-    words = grams(vocabulary(posting).withColumnRenamed("token", "word"), "word")
-    found = words.join(parts, "gram").where(F.contains("word", "token")).select("token", "word").distinct()
-    hits = wanted.join(found, "token").join(posting.withColumnRenamed("token", "word"), "word")
+def containing_tokens(wanted: DataFrame, index: Index) -> DataFrame:
+    """(query_id, token, building_id): buildings with a word that contains the token. Words and tokens meet in the rarest
+    of the token's runs of three characters (of the whole token, if it is shorter), so the join has equal keys and a
+    common run matters only to tokens that have no other."""
+    size = F.least(F.length("token"), F.lit(3))
+    parts = F.transform(F.sequence(F.lit(1), F.length("token") - size + 1), lambda i: F.substring(F.col("token"), i, size))
+    asked = wanted.select("token").distinct().where(F.length("token") > 0).select("token", F.explode(F.array_distinct(parts)).alias("gram"))
+    counted = asked.join(index.gram_counts, "gram", "left").withColumn("n", F.coalesce("n", F.lit(0).cast("long")))
+    rarest = counted.groupBy("token").agg(F.min(F.struct("n", "gram")).alias("g")).select("token", "g.gram")
+    words = index.grams.withColumnRenamed("token", "word")
+    found = words.join(rarest, "gram").where(F.contains("word", "token")).select("token", "word")
+    hits = wanted.join(found, "token").join(index.postings.withColumnRenamed("token", "word"), "word")
     return hits.select("query_id", "token", "building_id").distinct()
 
 
-def search_tokens(lists: DataFrame, posting: DataFrame) -> DataFrame:
+def search_tokens(lists: DataFrame, index: Index) -> DataFrame:
     """(query_id, building_id) for lists (query_id, words): every word is contained in a word of the building."""
     wanted = lists.select("query_id", F.explode("words").alias("token")).distinct()
-    return _all_tokens(containing_tokens(wanted, posting), wanted)
+    return _all_tokens(containing_tokens(wanted, index), wanted)
 
 
-def search_two_sided(queries: DataFrame, posting: DataFrame) -> DataFrame:
+def search_two_sided(queries: DataFrame, index: Index) -> DataFrame:
     """(query_id, side, building_id): the buildings of both sides (`from`, `to`) of a query."""
     parsed = query_tokens(queries).select("query_id", parse_closest(F.col("words")).alias("p"))
     sides = parsed.select("query_id", F.explode(F.array(
         F.struct(F.lit("from").alias("side"), F.col("p.from_tokens").alias("words")), F.struct(F.lit("to").alias("side"), F.col("p.to_tokens").alias("words"))
     )).alias("s"))
     keyed = sides.select(F.struct("query_id", F.col("s.side").alias("side")).alias("query_id"), "s.words")
-    return search_tokens(keyed, posting).select("query_id.query_id", "query_id.side", "building_id")
+    return search_tokens(keyed, index).select("query_id.query_id", "query_id.side", "building_id")
 
 
 def rank(query: Column) -> Column:
@@ -106,9 +129,9 @@ def ranked(found: DataFrame, queries: DataFrame, buildings: DataFrame) -> DataFr
     return both.select("query_id", "building_id", rank(F.col("text")).alias("rank"), display_address().alias("label"), "house_number", "lat", "lon")
 
 
-def search_inverted(queries: DataFrame, buildings: DataFrame, posting: DataFrame | None = None) -> DataFrame:
+def search_inverted(queries: DataFrame, buildings: DataFrame, index: Index | None = None) -> DataFrame:
     """Ranked buildings that have every word of the query; `closest` and `to` are words like others."""
-    return ranked(search_exact(queries, posting or postings(buildings)), queries, buildings)
+    return ranked(search_exact(queries, index.postings if index else postings(buildings)), queries, buildings)
 
 
 def closest_to(sides: DataFrame) -> DataFrame:
@@ -120,12 +143,11 @@ def closest_to(sides: DataFrame) -> DataFrame:
     return near.select("query_id", F.col("b.building_id").alias("building_id"))
 
 
-def search_substring(queries: DataFrame, buildings: DataFrame, posting: DataFrame | None = None) -> DataFrame:
+def search_substring(queries: DataFrame, buildings: DataFrame, index: Index | None = None) -> DataFrame:
     """Ranked buildings in whose words all words of the query are contained, or the one that is closest: its rank is 0.
 
     A `closest X to Y` whose Y is found nowhere gives the plain ranked X."""
-    found = search_two_sided(queries, posting or postings(buildings))
-    found = settled(found)
+    found = settled(search_two_sided(queries, index or build_index(buildings)))
     sides = settled(ranked(found, queries, buildings).join(found, ["query_id", "building_id"]))  # read three times
     near = closest_to(sides)
     plain = sides.where("side = 'from'").join(near.select("query_id"), "query_id", "left_anti").drop("side")
@@ -133,9 +155,9 @@ def search_substring(queries: DataFrame, buildings: DataFrame, posting: DataFram
     return plain.unionByName(one)
 
 
-def search(queries: DataFrame, buildings: DataFrame) -> DataFrame:
+def search(queries: DataFrame, buildings: DataFrame, index: Index | None = None) -> DataFrame:
     """queries with `exact` (boolean): each goes to exact or substring search; blank texts are skipped."""
     asked = queries.where(F.trim("text") != "")
-    posting = postings(buildings)
-    exact = search_inverted(asked.where("exact").drop("exact"), buildings, posting)
-    return exact.unionByName(search_substring(asked.where("not exact").drop("exact"), buildings, posting))
+    index = index or build_index(buildings)
+    exact = search_inverted(asked.where("exact").drop("exact"), buildings, index)
+    return exact.unionByName(search_substring(asked.where("not exact").drop("exact"), buildings, index))

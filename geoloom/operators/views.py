@@ -10,18 +10,25 @@ from .nearest import centred
 
 #: The zoom up to which each administrative level is shown.
 ZOOMS = {2: 1, 4: 2, 6: 3, 7: 4, 8: 5, 9: 6, 10: 7, 11: 8}
-#: Degrees of the grid cells in which views meet points.
+#: Degrees of the smallest cells in which views meet points.
 CELL = 0.25
 
 
 def in_views(points: DataFrame, views: DataFrame) -> DataFrame:
-    """points (lat, lon, ...) with the view_id of each closed box that holds them. Both meet in grid cells."""
-    cell = lambda c: F.floor(F.col(c) / CELL)
-    cover = views.select("*", F.explode(F.sequence(cell("sw_lat"), cell("ne_lat"))).alias("cx"))
-    cover = cover.where("sw_lon <= ne_lon").select("*", F.explode(F.sequence(cell("sw_lon"), cell("ne_lon"))).alias("cy"))
+    """points (lat, lon, ...) with the view_id of each closed box that holds them. A view meets the points in cells of
+    its own size, CELL degrees at least, so it covers four of them at most, and a point has one cell of each size asked
+    for."""
+    side = F.greatest(F.col("ne_lat") - F.col("sw_lat"), F.col("ne_lon") - F.col("sw_lon"), F.lit(CELL)) / CELL
+    own = views.where("sw_lat <= ne_lat and sw_lon <= ne_lon").withColumn("k", F.ceil(F.log2(side)).cast("int"))
+    sizes = sorted(r.k for r in own.select("k").distinct().collect() if r.k is not None)  # a dozen, as boxes are on a globe
+    if not sizes:
+        return points.limit(0).select(F.lit(None).cast(views.schema["view_id"].dataType).alias("view_id"), "*")
+    cell = lambda c: F.floor(F.col(c) / (F.pow(F.lit(2.0), F.col("k")) * CELL)).cast("long")
+    cover = own.select("*", F.explode(F.sequence(cell("sw_lat"), cell("ne_lat"))).alias("cx"))
+    cover = cover.select("*", F.explode(F.sequence(cell("sw_lon"), cell("ne_lon"))).alias("cy")).select("view_id", "sw_lat", "sw_lon", "ne_lat", "ne_lon", "k", "cx", "cy")
     inside = in_box(*(F.col(c) for c in ("lat", "lon", "sw_lat", "sw_lon", "ne_lat", "ne_lon")))
-    found = points.withColumns({"cx": cell("lat"), "cy": cell("lon")}).join(cover, ["cx", "cy"]).where(inside)
-    return found.select("view_id", *points.columns)
+    placed = points.withColumn("k", F.explode(F.array(*map(F.lit, sizes)))).withColumns({"cx": cell("lat"), "cy": cell("lon")})
+    return placed.join(cover, ["k", "cx", "cy"]).where(inside).select("view_id", *points.columns)
 
 
 def buildings_in_view(views: DataFrame, buildings: DataFrame) -> DataFrame:

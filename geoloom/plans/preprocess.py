@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..operators.areas import assign_admin_areas, build_address
 from ..operators.nearest import find_nearest
-from ..operators.search import grams, postings, vocabulary
+from ..operators.search import build_index
+from ..sources.snapshot import snapshot_read, snapshot_write
+from .tables import settled
 
 
 def with_addresses(buildings: DataFrame, vertices: DataFrame) -> DataFrame:
@@ -26,8 +28,15 @@ def interpolate_street(buildings: DataFrame, street_points: DataFrame) -> DataFr
 
 
 def preprocess(buildings: DataFrame, street_points: DataFrame, vertices: DataFrame) -> dict[str, DataFrame]:
-    """The tables that queries need: buildings, postings, vocabulary and its grams."""
-    enriched = interpolate_street(with_addresses(buildings, vertices), street_points)
-    posting = postings(enriched)
-    words = vocabulary(posting)
-    return {"buildings": enriched, "postings": posting, "vocabulary": words, "grams": grams(words)}
+    """The tables that queries need: buildings, postings, grams of the vocabulary, and gram_counts."""
+    enriched = settled(interpolate_street(with_addresses(buildings, vertices), street_points))
+    index = build_index(enriched)
+    return {"buildings": enriched, "postings": index.postings, "grams": index.grams, "gram_counts": index.gram_counts}
+
+
+def saved(tables: dict[str, DataFrame], path: str) -> dict[str, DataFrame]:
+    """The tables of preprocess() written as a snapshot; gram_counts are counted from the grams written."""
+    snapshot_write({k: v for k, v in tables.items() if k != "gram_counts"}, path)
+    read = snapshot_read(tables["buildings"].sparkSession, path, {k: v.schema for k, v in tables.items() if k != "gram_counts"})
+    snapshot_write({"gram_counts": read["grams"].groupBy("gram").agg(F.count("*").alias("n"))}, path)
+    return snapshot_read(tables["buildings"].sparkSession, path, {k: v.schema for k, v in tables.items()})

@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import geometry as G, tags as T, text as X
 from ..operators import areas as A, nearest as N, search as S, views as V
 from ..sources import osm
+from ..sources.snapshot import snapshot_read as read_snapshot, snapshot_write as write_snapshot
 from . import oracle as O
 from .fixtures import fixture
-from .preprocess import interpolate_street, preprocess, with_addresses
-from .tables import settled
+from .preprocess import interpolate_street, preprocess, saved, with_addresses
+from .tables import scratch_path
 
 ROOT = str(Path(__file__).resolve().parents[2])
 QUERIES: dict = {}
@@ -40,9 +41,29 @@ def raw(fx) -> DataFrame:
     return fx("fx_buildings").withColumn("house_number", X.house_number(F.col("house_number_raw"))).drop("house_number_raw")
 
 
+_PREPARED: dict[tuple, tuple[str, dict]] = {}
+
+
+def prepared(fx) -> dict[str, DataFrame]:
+    """The tables that preprocessing leaves, from a snapshot: made by the first query of a session over the same input, and
+    read by all that follow."""
+    source = raw(fx)
+    spark = source.sparkSession
+    key = (spark.sparkContext.applicationId, tuple(sorted(source.inputFiles())))
+    if key not in _PREPARED:
+        path = scratch_path(spark, "prepared")
+        tables = saved(preprocess(source, fx("fx_street_points"), fx("fx_area_vertices")), path)
+        _PREPARED[key] = path, {k: v.schema for k, v in tables.items()}
+    return read_snapshot(spark, *_PREPARED[key])
+
+
 def enriched(fx) -> DataFrame:
-    """The table that preprocessing leaves, settled as a snapshot would be."""
-    return settled(interpolate_street(with_addresses(raw(fx), fx("fx_area_vertices")), fx("fx_street_points")))
+    return prepared(fx)["buildings"]
+
+
+def index(fx) -> S.Index:
+    tables = prepared(fx)
+    return S.Index(tables["postings"], tables["grams"], tables["gram_counts"])
 
 
 _KEYS = {"building": "building", "shop": "shop", "amenity": "amenity", "highway": "highway", "boundary": "boundary", "name": "name", "name_de": "name:de", "brand": "brand", "brand_de": "brand:de", "street": "addr:street", "street_de": "addr:street:de", "house_number": "addr:housenumber", "admin_level": "admin_level"}
@@ -84,17 +105,30 @@ union all select 2 * ((l.id - 1000000) // 2) + 1, l.pos, l.lat, l.lon, r.r_name,
 # sources, predicates and extraction
 
 
-@query("select point_id id, lat, lon from {fx_points}")
+@query("""
+select 'node' kind, point_id id, round(lat, 9) lat, round(lon, 9) lon, 'kind=n'||point_id % 3 tags, cast(null as varchar) refs from {fx_points}
+union all select 'way', id, null, null, 'name='||'Way '||id, string_agg(ref, ',' order by pos) from {fx_refs} group by id
+union all select 'relation', r_regionkey, null, null, 'name='||r_name, 'way '||(1000001 + 2 * r_regionkey)||' outer,way '||(1000000 + 2 * r_regionkey)||' outer' from {region}""")
 def scan_osm(fx):
-    """Writes the nodes as XML to the shared folder, and scans them."""
-    from .tables import scratch_path
-
+    """Writes nodes, ways and relations as XML to the shared folder, and scans them."""
     made = nodes(fx)
-    path = scratch_path(made.sparkSession, "osm")
-    tag = F.array(F.struct(F.lit("a").alias("_k"), F.lit("b").alias("_v"))).alias("tag")
-    row = made.select(F.col("id").alias("_id"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), tag)
-    row.write.format("xml").option("rootTag", "osm").option("rowTag", "node").save(path)
-    return osm.scan_osm(made.sparkSession, path)[0].select("id", "lat", "lon")
+    spark, path = made.sparkSession, scratch_path(made.sparkSession, "osm")
+    tag = lambda k, v: F.array(F.struct(F.lit(k).alias("_k"), v.alias("_v"))).alias("tag")
+    own = F.transform("members", lambda m: F.struct(m["type"].alias("_type"), m["ref"].alias("_ref"), m["role"].alias("_role")))
+    rows = {
+        "node": made.select(F.col("id").alias("_id"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"), tag("kind", F.concat(F.lit("n"), F.col("id") % 3))),
+        "way": ways(fx).select(F.col("id").alias("_id"), F.transform("refs", lambda r: F.struct(r.alias("_ref"))).alias("nd"), tag("name", F.concat(F.lit("Way "), F.col("id")))),
+        "relation": relations(fx).select(F.col("id").alias("_id"), own.alias("member"), tag("name", F.col("tags")["name"])),
+    }
+    for kind, df in rows.items():
+        df.write.format("xml").option("rootTag", "osm").option("rowTag", kind).save(f"{path}/{kind}")
+    node, way, relation = osm.scan_osm(spark, f"{path}/*")
+    text = lambda m: F.array_join(F.transform(F.map_entries(m), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",")
+    member = lambda m: F.concat_ws(" ", m["type"], m["ref"].cast("string"), m["role"])
+    none, place = F.lit(None).cast("string"), [F.lit(None).cast("double").alias(c) for c in ("lat", "lon")]
+    out = node.select(F.lit("node").alias("kind"), "id", F.round("lat", 9).alias("lat"), F.round("lon", 9).alias("lon"), text("tags").alias("tags"), none.alias("refs"))
+    out = out.union(way.select(F.lit("way"), "id", *place, text("tags"), F.array_join("refs", ",")))
+    return out.union(relation.select(F.lit("relation"), "id", *place, text("tags"), F.array_join(F.transform("members", member), ",")))
 
 
 @query("select id, pos, lat, lon from {located}")
@@ -109,13 +143,10 @@ def assemble_areas(fx):
 
 
 def _snapshot(fx):
-    from ..sources.snapshot import snapshot_read, snapshot_write
-    from .tables import scratch_path
-
     table = raw(fx)
     path = scratch_path(table.sparkSession, "snapshot")
-    snapshot_write({"buildings": table, "areas": fx("fx_area_vertices")}, path)
-    return snapshot_read(table.sparkSession, path, {"buildings": table.schema, "areas": fx("fx_area_vertices").schema})
+    write_snapshot({"buildings": table, "areas": fx("fx_area_vertices")}, path)
+    return read_snapshot(table.sparkSession, path, {"buildings": table.schema, "areas": fx("fx_area_vertices").schema})
 
 
 @query("select * from {raw}")
@@ -203,7 +234,7 @@ def count_objects(fx):
 
 # scalar geometry
 
-_PAIR = "from {fx_points} p join {raw} b on b.building_id = p.point_id % 150 + 1"
+_PAIR = "from {fx_points} p join {raw} b on b.building_id = p.point_id % (select count(*) from {raw}) + 1"
 
 
 def _c(*names):
@@ -212,7 +243,7 @@ def _c(*names):
 
 def _pairs(fx):
     own = raw(fx).select("building_id", F.col("lat").alias("blat"), F.col("lon").alias("blon"))
-    return fx("fx_points").join(own, F.col("building_id") == F.col("point_id") % 150 + 1)
+    return fx("fx_points").join(own, F.col("building_id") == F.col("point_id") % own.count() + 1)
 
 
 @query(f"select p.point_id, round({O.haversine('p.lat', 'p.lon', 'b.lat', 'b.lon')}, 3) d {_PAIR}")
@@ -288,7 +319,7 @@ def find_nearest(fx):
 
 @query("select building_id from {postings} where token in ('auto', 'europe', 'platz') group by 1 having count(distinct token) = 1 intersect select building_id from {postings} where token = 'europe'")
 def sorted_intersect(fx):
-    posting = S.postings(enriched(fx))
+    posting = index(fx).postings
     once = posting.where("token in ('auto', 'europe', 'platz')").groupBy("building_id").agg(F.countDistinct("token").alias("n")).where("n = 1")
     return once.select("building_id").intersect(S.get_buildings(posting, "europe"))
 
@@ -337,17 +368,13 @@ def preprocess_(fx):
 # text
 
 
-@query(f"select doc_id, md5(coalesce({O.normalized('text')}, '')) normal from documents")
-def normalize_address(fx):
-    raise NotImplementedError
-
-
 def _documents(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return docs.select("doc_id", X.normalize_address(F.col("text")).alias("normal"))
 
 
 QUERIES["normalize_address"] = lambda spark, sf_dir: _documents(spark, sf_dir).select("doc_id", F.md5(F.coalesce("normal", F.lit("")).cast("binary")).alias("normal"))
+SQL["normalize_address"] = f"select doc_id, md5(coalesce({O.normalized('text')}, '')) normal from documents"
 QUERIES["tokenize"] = lambda spark, sf_dir: (
     _documents(spark, sf_dir).select(F.explode(X.tokens(F.col("normal"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
 )
@@ -361,12 +388,12 @@ def index_building(fx):
 
 @query("select building_id from {postings} where token = 'rewe'")
 def get_buildings(fx):
-    return S.get_buildings(S.postings(enriched(fx)), "rewe")
+    return S.get_buildings(index(fx).postings, "rewe")
 
 
 @query("select query_id, building_id from {exact}")
 def search_exact_tokens(fx):
-    return S.search_exact(fx("fx_queries"), S.postings(enriched(fx)))
+    return S.search_exact(fx("fx_queries"), index(fx).postings)
 
 
 @query("select distinct token, substr(token, i, n) gram from (select distinct token from {postings}) cross join range(1, 80) a(i) cross join range(1, 4) b(n) where i + n - 1 <= length(token)")
@@ -377,7 +404,7 @@ def suffix_array_build(fx):
 @query("select distinct q.query_id, q.token, p.building_id from {qtokens} q join {postings} p on contains(p.token, q.token)")
 def search_substring_token(fx):
     wanted = S.query_tokens(fx("fx_queries")).select("query_id", F.explode("words").alias("token")).distinct()
-    return S.containing_tokens(wanted, S.postings(enriched(fx)))
+    return S.containing_tokens(wanted, index(fx))
 
 
 O.LIB["sub_hits"] = "select distinct q.query_id, q.token, p.building_id from {qtokens} q join {postings} p on contains(p.token, q.token)"
@@ -385,7 +412,7 @@ O.LIB["sub_hits"] = "select distinct q.query_id, q.token, p.building_id from {qt
 
 @query(O.all_tokens("{sub_hits}", "{qtokens}"))
 def search_substring_all(fx):
-    return S.search_tokens(S.query_tokens(fx("fx_queries")), S.postings(enriched(fx)))
+    return S.search_tokens(S.query_tokens(fx("fx_queries")), index(fx))
 
 
 @query("select query_id, array_to_string(from_tokens, ' ') from_tokens, array_to_string(to_tokens, ' ') to_tokens from {parsed}")
@@ -396,7 +423,7 @@ def parse_closest(fx):
 
 @query("select query_id, side, building_id from {two_sided}")
 def search_two_sided(fx):
-    return S.search_two_sided(fx("fx_queries"), S.postings(enriched(fx)))
+    return S.search_two_sided(fx("fx_queries"), index(fx))
 
 
 @query("select distinct token from {postings}")
@@ -415,18 +442,18 @@ def rank_buildings(fx):
 
 @query("select query_id, building_id, \"rank\", label, house_number, lat, lon from {substring}")
 def search_suffix(fx):
-    return S.search_substring(fx("fx_queries"), enriched(fx))
+    return S.search_substring(fx("fx_queries"), enriched(fx), index(fx))
 
 
 @query("select query_id, building_id, \"rank\", label, house_number, lat, lon from {inverted}")
 def search_inverted(fx):
-    return S.search_inverted(fx("fx_queries"), enriched(fx))
+    return S.search_inverted(fx("fx_queries"), enriched(fx), index(fx))
 
 
 @query("select query_id, building_id from {closest}")
 def closest_to(fx):
     buildings, queries = enriched(fx), fx("fx_queries")
-    found = S.search_two_sided(queries, S.postings(buildings))
+    found = S.search_two_sided(queries, index(fx))
     return S.closest_to(S.ranked(found, queries, buildings).join(found, ["query_id", "building_id"]))
 
 
@@ -437,7 +464,7 @@ def display_address(fx):
 
 @query("select query_id, building_id, \"rank\" from {substring} where query_id % 2 = 0 and query_id not in (7, 15) union all select query_id, building_id, \"rank\" from {inverted} where query_id % 2 = 1 and query_id not in (7, 15)")
 def search_dispatch(fx):
-    return S.search(fx("fx_queries").withColumn("exact", F.col("query_id") % 2 == 1), enriched(fx)).select("query_id", "building_id", "rank")
+    return S.search(fx("fx_queries").withColumn("exact", F.col("query_id") % 2 == 1), enriched(fx), index(fx)).select("query_id", "building_id", "rank")
 
 
 # viewports
@@ -462,7 +489,7 @@ _ZOOM = "cast(case " + " ".join(f"when zoom <= {z} then {n}" for z, n in V.ZOOMS
 
 
 def _zooms(fx):
-    return fx("fx_points").where("point_id <= 20").select(F.col("point_id").cast("int").alias("zoom"))
+    return fx("fx_points").select("point_id", (F.col("point_id") % 21).cast("int").alias("zoom"))
 
 
 @query(f"select v.view_id, v.level, v.area_id from {{view_areas}} v, (select *, cast(7 + view_id as int) zoom from {{fx_views}}) z where z.view_id = v.view_id and ({_ZOOM} is null or {_ZOOM} = v.level)")
@@ -471,14 +498,14 @@ def areas_for_zoom(fx):
     return V.areas_for_zoom(found, (F.col("view_id") + 7).cast("int")).select("view_id", "level", "area_id")
 
 
-@query(f"select zoom, {_ZOOM} level from (select cast(point_id as int) zoom from {{fx_points}} where point_id <= 20)")
+@query(f"select point_id, zoom, {_ZOOM} level from (select point_id, cast(point_id % 21 as int) zoom from {{fx_points}})")
 def zoom_to_level(fx):
-    return _zooms(fx).select("zoom", V.zoom_to_level(F.col("zoom")).cast("int").alias("level"))
+    return _zooms(fx).select("point_id", "zoom", V.zoom_to_level(F.col("zoom")).cast("int").alias("level"))
 
 
-@query("select zoom, zoom >= 15 buildings, zoom >= 13 streets, zoom < 13 areas from (select cast(point_id as int) zoom from {fx_points} where point_id <= 20)")
+@query("select point_id, zoom, zoom >= 15 buildings, zoom >= 13 streets, zoom < 13 areas from (select point_id, cast(point_id % 21 as int) zoom from {fx_points})")
 def dynamic_layers(fx):
-    return _zooms(fx).select("zoom", *V.dynamic_layers(F.col("zoom")))
+    return _zooms(fx).select("point_id", "zoom", *V.dynamic_layers(F.col("zoom")))
 
 
 @query("select building_id, case when street is null then 'grey' when house_number is null then 'green' else 'blue' end class from {raw}")
@@ -489,7 +516,7 @@ def marker_class(fx):
 @query("""select r.query_id, r.building_id, case when trim(r.label||' '||coalesce(cast(r.house_number as varchar), '')) = '' then '(unnamed building)' else trim(r.label||' '||coalesce(cast(r.house_number as varchar), '')) end shown,
  r.lat between q.sw_lat and q.ne_lat and r.lon between q.sw_lon and q.ne_lon in_view from {inverted} r join {fx_queries} q on q.query_id = r.query_id""")
 def result_in_view(fx):
-    found = S.search_inverted(fx("fx_queries"), enriched(fx)).join(fx("fx_queries").drop("text"), "query_id")
+    found = S.search_inverted(fx("fx_queries"), enriched(fx), index(fx)).join(fx("fx_queries").drop("text"), "query_id")
     return V.result_in_view(found).select("query_id", "building_id", "shown", "in_view")
 
 

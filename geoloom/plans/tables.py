@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _made: dict[str, SparkSession] = {}
+atexit.register(lambda: _clear())
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -23,14 +25,13 @@ def shared_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder; what is there goes when Python ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    if not _made:
-        atexit.register(_clear)
     _made[path] = spark
     return path
 
 
-def _clear() -> None:
-    for path, spark in _made.items():
+def _clear(keep: frozenset[str] = frozenset()) -> None:
+    for path in [p for p in _made if p not in keep]:
+        spark = _made.pop(path)
         try:
             context = spark.sparkContext
             at = context._jvm.org.apache.hadoop.fs.Path(path)
@@ -39,6 +40,16 @@ def _clear() -> None:
             return
 
 
+@contextmanager
+def passing():
+    """What is settled inside goes at the end, so its results must be written or collected by then."""
+    before = frozenset(_made)
+    try:
+        yield
+    finally:
+        _clear(before)
+
+
 def settled(df: DataFrame) -> DataFrame:
     """df as it is now, written once and cut off from its lineage."""
     path = scratch_path(df.sparkSession, "settled")

@@ -53,8 +53,8 @@ def buildings(spark, texts):
 
 def found(spark, texts, *asked, exact=False):
     queries = spark.createDataFrame(list(enumerate(asked)), "query_id long, text string")
-    posting = S.postings(buildings(spark, texts))
-    hits = S.search_exact(queries, posting) if exact else S.search_tokens(S.query_tokens(queries), posting)
+    index = S.build_index(buildings(spark, texts))
+    hits = S.search_exact(queries, index.postings) if exact else S.search_tokens(S.query_tokens(queries), index)
     out = {q: set() for q in asked}
     for r in hits.collect():
         out[asked[r.query_id]].add(r.building_id)
@@ -147,6 +147,27 @@ def test_snapshot(spark, tmp_path):
         snapshot.snapshot_read(spark, str(tmp_path / "none"), {"t": df.schema})["t"].collect()
 
 
+def test_views_of_all_sizes(spark):
+    r = random.Random(5)
+    points = [(i, r.uniform(-90, 90), r.uniform(-180, 180)) for i in range(300)] + [(900, None, 1.0), (901, 10.0, 20.0)]
+    views = [(1, -90.0, -180.0, 90.0, 180.0), (2, 10.0, 20.0, 10.0, 20.0), (3, 0.0, 0.0, 45.0, 90.0), (4, 5.0, 5.0, 1.0, 9.0), (5, 10.0, 9.0, 11.0, 21.0), (6, None, 0.0, 1.0, 1.0)]
+    p = spark.createDataFrame(points, "point_id long, lat double, lon double")
+    v = spark.createDataFrame(views, "view_id long, sw_lat double, sw_lon double, ne_lat double, ne_lon double")
+    got = sorted((x.view_id, x.point_id) for x in V.in_views(p, v).collect())
+    want = sorted((k, i) for k, a, b, c, d in views if a is not None for i, y, x in points if y is not None and a <= y <= c and b <= x <= d)
+    assert got == want and len(got) > 300
+    assert V.in_views(p, v.limit(0)).count() == 0
+    # frames of all sizes meet the areas whose centre they reach
+    rows = [(lv, i, f"a{i}", 0, k, y + dy * s, x + dx * s) for lv, s in ((4, 3.0), (8, 0.1)) for i in range(30) for y, x in [(r.uniform(-60, 60), r.uniform(-170, 170))] for k, (dy, dx) in enumerate([(0, 0), (0, 1), (1, 1)])]
+    shape = spark.createDataFrame(rows, "level int, area_id long, name string, ring int, pos int, lat double, lon double")
+    box = A.boxes(shape).collect()
+    wide = {n: (max((b.tr_x - b.bl_x) / 2 for b in box if b.level == n), max((b.tr_y - b.bl_y) / 2 for b in box if b.level == n)) for n in (4, 8)}
+    frames = spark.createDataFrame([(1, -1.9e7, -1.9e7, 1.9e7, 1.9e7), (2, 0.0, 0.0, 5e6, 2e5), (3, 1e6, 1e6, 1e6, 1e6)], "f long, x0 double, y0 double, x1 double, y1 double")
+    got = sorted((x.f, x.level, x.area_id) for x in N.centred(frames, A.boxes(shape)).collect())
+    inside = lambda f, b: f.x0 - wide[b.level][0] <= b.center_x <= f.x1 + wide[b.level][0] and f.y0 - wide[b.level][1] <= b.center_y <= f.y1 + wide[b.level][1]
+    assert got == sorted((f.f, b.level, b.area_id) for f in frames.collect() for b in box if inside(f, b)) and got
+
+
 def test_views_and_zooms(spark):
     row = spark.range(0, 20).select("id", V.zoom_to_level(F.col("id")).alias("l"), *V.dynamic_layers(F.col("id"))).collect()
     assert [r.l for r in row][:13] == [1, 1, 1, 2, 2, 3, 3, 4, 5, 6, 7, 8, None] and row[13].streets and not row[14].buildings and row[12].areas
@@ -164,7 +185,7 @@ def plain(rows, columns):
 
 
 @pytest.mark.parametrize(
-    "name", ["search_inverted", "search_suffix", "nearest_admin_area", "nearest_street", "point_in_polygon", "edge_bins", "admin_areas_in_view", "streets_in_view", "preprocess", "normalize_address", "node_building", "area_admin"]
+    "name", ["scan_osm", "search_two_sided", "buildings_in_view", "haversine", "zoom_to_level", "search_inverted", "search_suffix", "nearest_admin_area", "nearest_street", "point_in_polygon", "edge_bins", "admin_areas_in_view", "streets_in_view", "preprocess", "normalize_address", "node_building", "area_admin"]
 )
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
@@ -186,6 +207,6 @@ def test_plans_have_no_nested_loops(spark):
         df = geo.fixture(spark, SMALL, name)
         return spark.createDataFrame(df.collect(), df.schema)
 
-    for df in (A.containing(fx("fx_points"), fx("fx_area_vertices")), V.in_views(fx("fx_points"), fx("fx_views")), S.search_two_sided(fx("fx_queries"), S.postings(buildings(spark, {1: "a"})))):
+    for df in (A.containing(fx("fx_points"), fx("fx_area_vertices")), V.in_views(fx("fx_points"), fx("fx_views")), S.search_two_sided(fx("fx_queries"), S.build_index(buildings(spark, {1: "a"})))):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan
