@@ -39,6 +39,22 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_WORDS = "list_filter(regexp_split_to_array({}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
+
+OP3_SQL = f"""
+with d as (select doc_id, {_WORDS.format("coalesce(text, '')")} as ws from documents),
+k as (
+  select doc_id, i, ws[i] as word, case when i + 49 <= len(ws) then array_to_string(ws[i : i + 49], ' ') end as said
+  from (select doc_id, ws, unnest(range(1, len(ws) + 1)) as i from d)
+), low as (select said, min(doc_id) as first from k where said is not null group by said),
+g as (select k.doc_id, i, word, coalesce(low.first < k.doc_id, false) as gone from k left join low on low.said = k.said),
+c as (select doc_id, i, word, bool_or(gone) over (partition by doc_id order by i rows between 49 preceding and current row) as cut from g)
+select d.doc_id, count(i) as n_words, count(i) filter (cut) as n_removed,
+       sha256(coalesce(string_agg(word, ' ' order by i) filter (not cut), '')) as kept_sha256
+from d left join c on c.doc_id = d.doc_id group by d.doc_id
+"""
+
+
 @owning
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -108,6 +124,23 @@ def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(load(spark, sf_dir, "documents"))
 
 
+OP7_SQL = f"""
+with recursive d as (
+  select doc_id, {_WORDS.format("translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} as ws from documents
+), s as (
+  select doc_id, case when len(ws) >= 5 then list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i : i + 4], ' ')))
+                      when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end as own from d
+), e as (select doc_id, unnest(own) as g from s),
+p as (select a.doc_id as x, b.doc_id as y, count(*) as shared from e a join e b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+l as (
+  select x, y from p join s a on a.doc_id = x join s b on b.doc_id = y where 100 * shared >= 75 * (len(a.own) + len(b.own) - shared)
+), ways as (select x, y from l union all select y, x from l),
+reach(x, y) as (select doc_id, doc_id from s union select reach.x, ways.y from reach join ways on ways.x = reach.y),
+c as (select x as doc_id, min(y) as component_id from reach group by x)
+select doc_id, cast(len(own) as bigint) as n_shingles, component_id, doc_id = component_id as kept from s join c using (doc_id)
+"""
+
+
 @owning
 def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
@@ -185,4 +218,7 @@ QUERIES = {
     "op9_token_counts": op9_token_counts,
 }
 
-SQL = {"op5_exact_dedup": OP5_SQL, "op6_chat": OP6_SQL, "op8_lm_scores": OP8_SQL, "op10_metric_search": OP10_SQL}
+SQL = {
+    "op3_substring_dedup": OP3_SQL, "op5_exact_dedup": OP5_SQL, "op6_chat": OP6_SQL, "op7_near_dedup": OP7_SQL, "op8_lm_scores": OP8_SQL,
+    "op10_metric_search": OP10_SQL,
+}
