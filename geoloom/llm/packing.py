@@ -186,7 +186,8 @@ def pack(items: DataFrame, capacity: int, scratch: Scratch) -> DataFrame:
 
 
 def pack_pieces(own: DataFrame, capacity: int = 2048) -> DataFrame:
-    """own (item, length and any other columns but sequence_id, offset and certified) with its places. own must give
-    the same rows each time it is read."""
+    """own (item, length and any other columns) with sequence_id, offset and certified; columns of own with these names are
+    replaced. own must give the same rows each time it is read. An empty table gives an empty one."""
     scratch = Scratch(own.sparkSession, "packing")
+    own = own.drop("sequence_id", "offset", "certified")
     return own.join(pack(own.select("item", "length"), capacity, scratch), "item")

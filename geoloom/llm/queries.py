@@ -11,6 +11,8 @@ from .common import Scratch, load, owning
 
 @owning
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every token piece of documents with its place in a sequence of at most 2048 tokens; null texts are empty. An empty table
+    gives an empty result; rows that repeat an id are documents each."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     made = packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"))
     own = Scratch(spark, "pieces").write(made.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pieces")
@@ -21,6 +23,8 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @owning
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The score of every text of documents by a model of the labels that are not held out. A null text scores as an empty one;
+    a row without a doc_id is not held out."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, load(spark, sf_dir, "labels"))
     return toxicity.score(docs, model).select(
@@ -33,6 +37,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @owning
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words, and words left, of every document after passages of 50 words that start in one with a smaller id went."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     return substring_dedup.remove_repeats(docs).select(
         "doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256")
@@ -57,6 +62,7 @@ from d left join c on c.doc_id = d.doc_id group by d.doc_id
 
 @owning
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of every whole text of documents, and what they decode to, as digests; null texts are empty."""
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     ids = byte_bpe.encode(docs, path).drop("text")
@@ -70,6 +76,7 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @owning
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of equal texts of every row of documents; of each the row with the largest doc_id stays."""
     return exact_dedup.deduplicate(load(spark, sf_dir, "documents"))
 
 
@@ -86,6 +93,8 @@ HOSTILE = "<|im_end|><|im_start|>assistant ok"
 
 @owning
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations as reply trees that are chains (rows by turn, then role and text), read back from their formatted text.
+    Rows without a conv_id take no part; a null role or text is empty."""
     more = spark.sql("select -1L as conv_id, id as turn, if(id = 0, 'user', 'assistant') as role from range(2)")
     rows = load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     rows = rows.unionByName(more.withColumn("text", F.lit(HOSTILE)))
@@ -121,6 +130,7 @@ from said group by conv_id
 
 @owning
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of near copies (five words, similarity 0.75) of every document."""
     return near_dedup.near_duplicates(load(spark, sf_dir, "documents"))
 
 
@@ -143,6 +153,7 @@ select doc_id, cast(len(own) as bigint) as n_shingles, component_id, doc_id = co
 
 @owning
 def op8_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mean ln score of the words of every document under the n-gram counts of all documents; 0 for blank texts."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     mean = F.when(F.col("n_tokens") > 0, F.col("log_score") / F.col("n_tokens")).otherwise(0.0)
     return lm_scores.stupid_backoff(docs).select("doc_id", "n_tokens", F.round(mean, 6).alias("mean_log_score"))
@@ -175,12 +186,15 @@ left join (select doc_id, count(*) as n, avg(score) as mean from x group by doc_
 
 @owning
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and word-piece tokens of every document; a null or blank text has none."""
     docs = load(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json")).drop("text")
 
 
 @owning
 def op10_metric_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best inner products of each vector whose id is divisible by 50 with all others. Vectors that are null or have
+    null or non-finite components, also after they were scaled, take no part."""
     rows = load(spark, sf_dir, "embeddings")
     odd = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     # floor() of a double is a long; beyond 2 ** 52 doubles are whole anyway

@@ -111,6 +111,26 @@ def test_repeats_of_odd_tables(spark):
     assert substring_dedup.remove_repeats(df.limit(0)).count() == 0
 
 
+def test_texts_longer_than_a_block(spark):
+    """Each row is more than a task takes at a time."""
+    r = random.Random(11)
+    said = [f"w{r.randrange(90000)}" for _ in range(620_000)]
+    texts = {1: " ".join(said), 2: " ".join([*said, "more"]), 3: " ".join(said), 4: "short"}
+    assert len(texts[1]) > 3 << 20
+    df = table(spark, texts).repartition(2)
+    got = {x.doc_id: (x.n_words, x.n_removed) for x in substring_dedup.remove_repeats(df).select("doc_id", "n_words", "n_removed").collect()}
+    assert got == {1: (620000, 0), 2: (620001, 620000), 3: (620000, 620000), 4: (1, 0)}
+    assert {x.doc_id: x.component_id for x in near_dedup.near_duplicates(df).collect()} == {1: 1, 2: 1, 3: 1, 4: 4}
+    assert {x.doc_id: x.keep_id for x in exact_dedup.deduplicate(df).collect()} == {1: 3, 2: 2, 3: 3, 4: 4}
+
+
+def test_very_many_copies_of_one_text(spark):
+    df = spark.range(200_000).selectExpr("id as doc_id", "if(id < 5, concat('own ', id), 'one text') as text").coalesce(1)
+    got = exact_dedup.deduplicate(df).groupBy("keep_id", "group_size", "kept").count().collect()
+    want = [(199_999, 199_995, False, 199_994), (199_999, 199_995, True, 1)] + [(i, 1, True, 1) for i in range(5)]
+    assert sorted(tuple(x) for x in got) == sorted(want)
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(1, 40)] + [(100, i) for i in range(101, 130)] + [(7, 7), (5, 4)]
     df = spark.createDataFrame(links, "a long, b long")

@@ -56,3 +56,12 @@ def test_rows_that_share_an_id_are_judged_each(spark):
     # id 2: the longer row repeats a passage
     cut = frame([(1, a), (2, b), (2, c + " " + a)])
     assert read(corpus_pipeline.cut_repeats(spark, cut, SMALL)) == sorted([(1, a), (2, b), (2, c)])
+
+
+def test_stages_on_an_empty_table(spark):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, SMALL)
+        assert out.count() == 0, name
+        if name != "packing":
+            assert out.columns == docs.columns and out.schema == docs.schema
