@@ -2,7 +2,8 @@
 
 A stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but the last return the columns of
 documents. Rows without a doc_id pass the filtering stages; each other row is judged by itself, also where rows share a
-doc_id.
+doc_id. An empty table gives an empty one at every stage. A null text is an empty one: it is scored as such, equal to other
+empty texts, near to none, and packed as one token.
 """
 
 from __future__ import annotations
@@ -40,12 +41,14 @@ def _without(docs: DataFrame, decisions: DataFrame, scratch: Scratch) -> DataFra
 
 @owning
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows whose score is below TOXIC; without any labels all of them."""
     model = toxicity.train(docs, load(spark, sf_dir, "labels"))
     return toxicity.score(docs, model, to="__score").where(F.col("__score") < TOXIC).select(*docs.columns)
 
 
 @owning
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the row with the largest doc_id."""
     scratch = Scratch(spark, "stage")
     rows = _numbered(docs, scratch)
     return _without(rows, exact_dedup.deduplicate(rows, "__row"), scratch)
@@ -53,6 +56,7 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 @owning
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the row with the smallest doc_id."""
     scratch = Scratch(spark, "stage")
     rows = _numbered(docs, scratch)
     return _without(rows, near_dedup.near_duplicates(rows, "__row"), scratch)
@@ -69,6 +73,7 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @owning
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every token piece of docs with its place in a sequence of at most 2048 tokens."""
     made = packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"))
     own = Scratch(spark, "pieces").write(made.withColumn("ids_crc32", F.crc32("ids")).drop("ids"), "pieces")
     return packing.pack_pieces(own).select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
