@@ -353,10 +353,9 @@ def interpolate_street_(fx):
     return interpolate_street(raw(fx), fx("fx_street_points")).select("building_id", "street")
 
 
-@query("select street_id, cast(pos as int) pos, lat, lon from {fx_street_points}")
+@query("select s.id street_id, l.pos, l.lat, l.lon from {shape} s join {located} l on l.id = s.id where s.id % 2 = 1 and s.id % 7 <> 0")
 def explode_street_points(fx):
-    lines = fx("fx_street_points").groupBy("street_id").agg(F.sort_array(F.collect_list(F.struct("pos", "lat", "lon"))).alias("points"))
-    return lines.select("street_id", F.explode("points").alias("p")).select("street_id", "p.pos", "p.lat", "p.lon")
+    return osm.way_streets(ways(fx), nodes(fx)).where("pos is not null").select("street_id", "pos", "lat", "lon")
 
 
 @query("select building_id, street, house_number, shop_name, address from {buildings}")
