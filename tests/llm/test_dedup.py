@@ -131,7 +131,9 @@ def test_very_many_copies_of_one_text(spark):
     assert sorted(tuple(x) for x in got) == sorted(want)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("most", [0, 1000])
+def test_components(spark, monkeypatch, most):
+    monkeypatch.setattr("geoloom.llm.components.BROADCAST", most)
     links = [(i, i + 1) for i in range(1, 40)] + [(100, i) for i in range(101, 130)] + [(7, 7), (5, 4)]
     df = spark.createDataFrame(links, "a long, b long")
     got = {r.id: r.component for r in components(df, Scratch(spark, "t"), "c").collect()}
