@@ -128,7 +128,6 @@ def encode(docs: DataFrame, vocabulary: str, text_col: str = "text", offsets: bo
                 start, end = characters(data, lengths, first)
                 more += [ragged(x.astype(np.int32), ends, pa.int32()) for x in (byte_ends[:-1] - first, start, end)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*names, *new])
-        own.kept.clear()
 
     fields = [*docs.schema.fields, *(T.StructField(n, T.ArrayType(T.IntegerType())) for n in new)]
     return docs.mapInArrow(lean(run), T.StructType(fields))

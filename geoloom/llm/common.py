@@ -7,6 +7,7 @@ import functools
 import gc
 import uuid
 import weakref
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -20,8 +21,8 @@ ROOT = str(Path(__file__).resolve().parents[2])
 BLOCK_BYTES = 3 << 20
 #: Spark's option to remove an execution's shuffle files when it has ended.
 FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-#: Pieces, and their ids, that a task keeps between blocks.
-KEPT, KEPT_IDS, KEPT_LENGTH = 200_000, 2_000_000, 40
+#: Pieces, and their ids, from which a worker keeps no more between blocks; the length of those that it keeps.
+KEPT, KEPT_IDS, KEPT_LENGTH = 350_000, 2_500_000, 40
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -126,12 +127,10 @@ def trim() -> None:
 
 
 class Kept:
-    """The ids of pieces of text, kept between the blocks of a task in one flat array of bounded size."""
+    """The ids of pieces of text, kept between the blocks of a worker in one flat array: the first KEPT pieces and those
+    of one block more at most, some 60 MB."""
 
     def __init__(self):
-        self.clear()
-
-    def clear(self) -> None:
         self.places, self.lengths, self.ids = {}, np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def look_up(self, pieces: list, encode, step: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -145,14 +144,12 @@ class Kept:
         for k in range(0, len(missing), step):
             found = encode(missing[k : k + step])
             lengths.append(np.fromiter(map(len, found), np.int64, len(found)))
-            ids.append(np.fromiter((i for x in found for i in x), np.uint32, int(lengths[-1].sum())))
+            ids.append(np.array(list(chain.from_iterable(found)), np.uint32))
         at[new] = base + np.arange(len(new))
         lengths, ids = np.concatenate(lengths), np.concatenate(ids)
-        if len(lengths) <= KEPT and len(ids) <= KEPT_IDS:
+        if base < KEPT and len(ids) <= KEPT_IDS:
             places.update((p, base + i) for i, p in enumerate(missing) if len(p) <= KEPT_LENGTH)
             self.lengths, self.ids = lengths, ids
-        elif base:
-            self.clear()
         return at, np.cumsum(lengths) - lengths, lengths, ids
 
 
