@@ -7,7 +7,7 @@ import functools
 import gc
 import uuid
 import weakref
-from itertools import chain
+from itertools import chain, repeat
 from pathlib import Path
 
 import numpy as np
@@ -137,7 +137,7 @@ class Kept:
         """For distinct pieces: the place of each, and by place the start and number of its ids in the last array.
         encode gets `step` unknown pieces at a time, and returns a list of ids for each."""
         places, base = self.places, len(self.lengths)
-        at = np.fromiter((places.get(p, -1) for p in pieces), np.int64, len(pieces))
+        at = np.fromiter(map(places.get, pieces, repeat(-1)), np.int64, len(pieces))
         new = np.flatnonzero(at < 0)
         missing = [pieces[i] for i in new.tolist()]
         lengths, ids = [self.lengths], [self.ids]

@@ -8,6 +8,7 @@ packed again, in fewer and fewer shares.
 
 from __future__ import annotations
 
+import json
 import os
 from functools import lru_cache
 
@@ -16,33 +17,123 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from .common import Kept, Scratch, blocks, lean, spread, words
+from .common import Kept, Scratch, blocks, lean, raw, spread, words
 
 #: Pieces in a share; rounds of exchange.
 SHARE, ROUNDS = 32768, 6
 #: Words encoded at a time.
 SLICE = 4096
+#: What a tokenizers file says that splits words as plain_pieces does.
+PLAIN = {
+    "truncation": None,
+    "padding": None,
+    "normalizer": {
+        "type": "Sequence",
+        "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}],
+    },
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {
+                "type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed",
+                "invert": True,
+            },
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+}
+#: Kinds of bytes, and the lower-case form of each. 0xC3 leads the letters from U+00C0 to U+00FF.
+OTHER, LETTER, DIGIT, SIGN = range(4)
+KINDS, LOWER = np.full(256, OTHER, np.uint8), np.arange(256, dtype=np.uint8)
+KINDS[0x21:0x7F] = SIGN
+KINDS[ord("'")] = OTHER
+KINDS[ord("0") : ord("9") + 1] = DIGIT
+KINDS[ord("A") : ord("Z") + 1] = KINDS[ord("a") : ord("z") + 1] = KINDS[0xC3] = LETTER
+LOWER[ord("A") : ord("Z") + 1] += 0x20
+
+
+def splits_plainly(path: str) -> bool:
+    """Whether a tokenizers file treats lower-cased words as plain_pieces does, its added tokens aside, which begin with `<|`."""
+    with open(path, encoding="utf-8") as f:
+        own = json.load(f)
+    added = all(t["content"].startswith("<|") for t in own["added_tokens"])
+    return added and own["model"].get("dropout") is None and all(own.get(k) == v for k, v in PLAIN.items())
+
+
+def plain_pieces(distinct: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Of words that are not empty (large binary): the number of pieces of each, the pieces lower-cased, and which words are not
+    plain. Those have no pieces: words with an apostrophe, with `<|`, or with other characters than printable ASCII and the
+    letters from U+00C0 to U+00FF. No two of these characters compose, and each has one lower-case form.
+
+    A piece is a run of letters, a digit, or a run of other characters."""
+    offsets, data = raw(distinct)
+    first, data = offsets[:-1] - offsets[0], data[offsets[0] : offsets[-1]]
+    kind, low = KINDS[data], LOWER[data]
+    lead = np.flatnonzero(data == 0xC3)
+    tail = np.append(data, np.uint8(0))[lead + 1]
+    letter = (tail & 0xC0 == 0x80) & (tail != 0x97) & (tail != 0xB7)  # but the signs of multiplication and division
+    kind[lead[~letter]] = OTHER
+    lead, tail = lead[letter], tail[letter]
+    kind[lead + 1], low[lead + 1] = LETTER, np.where(tail < 0x9F, tail + 0x20, tail)
+    odd = kind == OTHER
+    odd[:-1] |= (data[:-1] == ord("<")) & (data[1:] == ord("|"))
+    odd = np.logical_or.reduceat(odd, first) if len(first) else np.zeros(0, bool)
+    begins = kind == DIGIT
+    begins[1:] |= kind[1:] != kind[:-1]
+    begins[first] = True
+    counts = np.add.reduceat(begins, first, dtype=np.int64) if len(first) else np.zeros(0, np.int64)
+    ends = np.append(np.flatnonzero(begins), len(data))
+    pieces = pa.Array.from_buffers(pa.large_string(), len(ends) - 1, [None, pa.py_buffer(ends), pa.py_buffer(low)])
+    if odd.any():
+        pieces = pieces.filter(pa.array(np.repeat(~odd, counts)))
+    return np.where(odd, 0, counts), pieces, odd
 
 
 class Encoder:
-    """A tokenizers model whose matches never span white space, applied to each distinct word once."""
+    """A tokenizers model whose matches never span white space, applied to each distinct piece of words once where it splits
+    words plainly, else to each distinct word."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.model, self.kept, self.plain = Tokenizer.from_file(path), Kept(), None
+        if splits_plainly(path):
+            self.plain = Tokenizer(self.model.model)
+            self.plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, trim_offsets=True, use_regex=False)
+
+    def _look_up(self, model, said: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        def ids(said: list[str]) -> list[list[int]]:
+            return [e.ids for e in model.encode_batch_fast(said, add_special_tokens=False)]
 
-        self.model, self.kept = Tokenizer.from_file(path), Kept()
+        said = said.cast(pa.large_string()).to_numpy(zero_copy_only=False).tolist()
+        at, starts, lengths, flat = self.kept.look_up(said, ids, SLICE)
+        return starts[at], lengths[at], flat
 
-    def _ids(self, said: list[bytes]) -> list[list[int]]:
-        return [e.ids for e in self.model.encode_batch_fast([w.decode() for w in said], add_special_tokens=False)]
+    def _words(self, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The start and number of each word's ids in the last array."""
+        if self.plain is None:
+            return self._look_up(self.model, distinct)
+        counts, pieces, odd = plain_pieces(distinct)
+        coded = pieces.dictionary_encode()
+        index = np.asarray(coded.indices)
+        starts, lengths, flat = self._look_up(self.plain, coded.dictionary)
+        sizes = lengths[index]
+        own = flat[spread(starts[index], sizes)]
+        ends = np.concatenate(([0], np.cumsum(sizes)))[np.concatenate(([0], np.cumsum(counts)))]
+        starts, lengths = ends[:-1], np.diff(ends)
+        if odd.any():
+            starts[odd], lengths[odd], flat = self._look_up(self.model, distinct.filter(pa.array(odd)))
+            starts[odd] += len(own)
+            own = np.concatenate((own, flat))
+        return starts, lengths, own
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Offsets of each text's ids, and the ids."""
         ends, index, distinct = words(texts)
-        at, starts, lengths, flat = self.kept.look_up(distinct.to_pylist(), self._ids, SLICE)
-        place = at[index]
-        sizes = lengths[place]
-        return np.concatenate(([0], np.cumsum(sizes)))[ends], flat[spread(starts[place], sizes)]
+        starts, lengths, flat = self._words(distinct)
+        sizes = lengths[index]
+        return np.concatenate(([0], np.cumsum(sizes)))[ends], flat[spread(starts[index], sizes)]
 
 
 @lru_cache(2)

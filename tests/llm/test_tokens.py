@@ -1,4 +1,5 @@
 import base64
+import json
 import random
 
 import numpy as np
@@ -7,10 +8,11 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-from geoloom.llm import byte_bpe, token_counts
+from geoloom.llm import byte_bpe, packing, token_counts
 from geoloom.llm.common import raw, words
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+WORDS = public_tokenizers.path("word_bpe_49k.json")
 ODD = ["", " ", "a", "  a  b ", "  x  y", "it's  we'll'S", "\x1c\x1d a\x85b", "\n\n x\n", "日本語 テスト", "é" * 300, "x" * 3000, "🙂🙃 ok", "١٢٣ 12345", "﻿a​b᠎c", "a　 b"]
 
 
@@ -86,3 +88,32 @@ def test_words_are_split_at_ascii_space_only():
     own = distinct.to_pylist()
     got = [[own[i].decode() for i in index[a:b]] for a, b in zip(ends[:-1], ends[1:])]
     assert got == [["a\x1cb", "c d"], [], ["a"], []]
+
+
+def test_word_ids_equal_the_tokenizer():
+    r, own = random.Random(9), packing.Encoder(WORDS)
+    odd = ["é", "É", "ÿ", "ß", "Þ", "×", "÷", "ª", "µ", "\u0301", "\x85", "\x00", "\x1c", "\x7f", "Σ", "İ", "ſ", "\u212a", "日", "🙂", "<|endoftext|>", "</w>"]
+    hard, easy = [*"abzSTAM'sdlvre<|>&09 \n", *odd], [*"abcXYZ09.,&<> ", "É", "ö", "Ø"]
+    some = ["".join(r.choices(hard, k=r.randrange(50))) for _ in range(3000)] + ["".join(r.choices(easy, k=r.randrange(50))) for _ in range(3000)]
+    some += [*texts(), *odd, "'", "don't 'tis DON'T", "it''s &'s", "x" * 5000, None]
+    ends, ids = own.encode(pa.array(some, pa.string()))
+    for i, t in enumerate(some):
+        assert ids[ends[i] : ends[i + 1]].tolist() == own.model.encode(t or "", add_special_tokens=False).ids, repr(t)
+    assert [x.tolist() for x in own.encode(pa.array([], pa.string()))] == [[0], []]
+    with pytest.raises(ValueError):  # a byte that begins a character is no word
+        own.encode(pa.array([b"a \xc3 b", b"\xc3"]).view(pa.string()))
+
+
+def test_words_that_differ_in_case_and_signs_are_encoded_once(tmp_path):
+    own = packing.Encoder(WORDS)
+    said = [f"{a}{word}{b}" for word in ("cat", "CAT", "Été", "été") for a in ("", "(", "[[") for b in ("", ".", "...", "!", ",")]
+    own.encode(pa.array([" ".join(said)]))
+    assert set(own.kept.places) == {"cat", "été", "(", "[[", ".", "...", "!", ","}
+    # a file that keeps case, or cuts elsewhere, is asked for whole words
+    with open(WORDS, encoding="utf-8") as f:
+        model = json.load(f)
+    model["normalizer"]["normalizers"].pop()
+    (tmp_path / "other.json").write_text(json.dumps(model), encoding="utf-8")
+    other = packing.Encoder(str(tmp_path / "other.json"))
+    ends, ids = other.encode(pa.array(["Cat. cat"]))
+    assert other.plain is None and ids.tolist() == other.model.encode("Cat. cat").ids != own.model.encode("Cat. cat").ids
